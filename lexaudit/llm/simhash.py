@@ -115,6 +115,17 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """docs with one row of each near-duplicate group: that with its smallest doc_id; columns unchanged.
+
+    Of repeated rows with that doc_id one is kept.  Rows without doc_id cannot be told apart by it and
+    stay.  The texts move once, by doc_id, for the semi join and the removal of repeats together.
+    """
+    first = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexaudit.llm._util import small_batches
+from lexaudit.llm._util import free_name, small_batches
 
 #: Bound of the training sample, in documents.
 TRAIN_DOCS = 12_000
@@ -158,6 +158,12 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], *, how: Ftrl =
     return src.mapInArrow(run, f"{schema}, `{name}` double")
 
 
+def reject_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, how: Ftrl = Ftrl()) -> DataFrame:
+    """The rows of docs that score under the threshold, by a model fitted on labels; columns unchanged."""
+    name = free_name(docs, "_toxicity")
+    return score(docs, fit(docs, labels, how=how), how=how, name=name).where(F.col(name) < threshold).drop(name)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
