@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lexaudit.llm import license_scan, packing, pii, simhash, toxicity, url_filter
+from lexaudit.llm import bpe, license_scan, packing, pii, simhash, toxicity, url_filter, vector_dedup
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_pii": pii.op2_pii,
     "op3_packing": packing.op3_packing,
+    "op4_bpe": bpe.op4_bpe,
+    "op5_vector_dedup": vector_dedup.op5_vector_dedup,
     "op6_simhash": simhash.op6_simhash,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_license_scan": license_scan.op10_license_scan,
