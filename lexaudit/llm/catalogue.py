@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexaudit.llm import bpe, license_scan, packing, pii, simhash, toxicity, url_filter, vector_dedup
+from lexaudit.llm import bpe, html_extract, license_scan, media, packing, pii, simhash, toxicity, url_filter, vector_dedup
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_bpe": bpe.op4_bpe,
     "op5_vector_dedup": vector_dedup.op5_vector_dedup,
     "op6_simhash": simhash.op6_simhash,
+    "op7_media": media.op7_media,
+    "op8_html_extract": html_extract.op8_html_extract,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_license_scan": license_scan.op10_license_scan,
 }
