@@ -517,4 +517,6 @@ def encode_payload(payload: bytes) -> bytes:
 def payload_of(image: Image) -> bytes:
     """The payload in an image of encode_payload."""
     (blocks,) = struct.unpack(">I", image.comment)
-    return (image.components[0].coefs[:blocks] - 256).astype(np.uint8).tobytes()
+    c = image.components[0]
+    own = c.coefs.reshape(-1, c.stride, 64)[:, : c.wide].reshape(-1, 64)[:blocks]
+    return (own - 256).astype(np.uint8).tobytes()
