@@ -1,0 +1,291 @@
+"""Text functions as native columns: tokens, names, typed numbers, quotes, wording.
+
+Everything here stays in the JVM.  Functions take and return Columns; a null text gives a null or empty
+result as stated.  Patterns that must give the same results as published ones stand as fixed values.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Grammar of tokens and names.
+TOKEN = r"@([^@<>]*)@"
+TOKEN_WHOLE = r"@[^@<>]*@"
+TOKEN_CHARACTERS = r"^[A-Za-z0-9_.*\-: ]+$"
+INCLUDE = r"\{\{\s*([^}]*?)\s*\}\}"
+AFFIX = r"(?i)^(?:tooltiponly|fortooltip|tooltip|display|tt)_?|_?(?:tooltiponly|fortooltip|tooltip|display|tt)$"
+# What a typed number is, and what is blanked before looking for one.
+MASKED = r"<[^>]*>|@[^@<>]*@|%i:[^%\s]*%|\{\{[^}]*\}\}|&[a-zA-Z]+;|&#\d+;"
+NUMBER = r"(?<![\w.])(\d+(?:\.\d+)?)(\s?%|st|nd|rd|th|x)?(?![\w])"
+CAMEL = r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+"
+PLACEHOLDER = r"@[^@\s]+@"
+QUOTED = "\"([^\"]+)\"|“([^”]+)”"
+TAG = r"<[^<>]*>"
+BREAK = r"(?i)</?(?:br|li|ul|ol|p|hr|rules)\b[^<>]*>"
+
+_UNICODE = "(?U)"
+
+
+def _offsets(text: Column, pattern: str) -> Column:
+    """Array of {text, start, end} of the matches of a pattern without groups, by the lengths of what lies between."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.split(text, pattern, -1)
+    zero = F.array().cast("array<struct<text:string,start:int,end:int>>")
+
+    # try_element_at: an empty array has no last element
+    def safe(done: Column, i: Column) -> Column:
+        last = F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(0))
+        before = last + F.length(F.get(gaps, i))
+        m = F.get(found, i)
+        item = F.struct(m.alias("text"), before.cast("int").alias("start"), (before + F.length(m)).cast("int").alias("end"))
+        return F.concat(done, F.array(item))
+
+    order = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(order, zero, safe)
+
+
+def tokens(text: Column) -> Column:
+    """Names of the tokens ``@...@`` of a text, in order."""
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1))
+
+
+def tokens_with_offsets(text: Column) -> Column:
+    """Array of {text, start, end} of the tokens, their @ signs included; offsets count code points from 0."""
+    return _offsets(text, TOKEN_WHOLE)
+
+
+def unpaired_signs(text: Column) -> Column:
+    """How many @ signs belong to no token."""
+    return F.length(text) - F.length(F.replace(text, F.lit("@"), F.lit(""))) - 2 * F.size(tokens(text))
+
+
+def includes(text: Column) -> Column:
+    """Names in ``{{ ... }}``, in order."""
+    return F.regexp_extract_all(text, F.lit(INCLUDE), F.lit(1))
+
+
+def parse_token(token: Column) -> Column:
+    """{owner, name, precision, factor} of ``[spell.Owner:]Name[.precision][*factor]``; null if it is no value token."""
+    has_factor, value = F.contains(token, F.lit("*")), F.substring_index(token, "*", 1)
+    raw_factor = F.regexp_extract(token, r"(?s)^[^*]*\*(.*)$", 1)
+    number = F.when(has_factor, raw_factor.try_cast("double")).otherwise(F.lit(1.0))
+    has_owner = F.contains(value, F.lit(":"))
+    prefix = F.substring_index(value, ":", 1)
+    rest = F.when(has_owner, F.regexp_extract(value, r"(?s)^[^:]*:(.*)$", 1)).otherwise(value)
+    owner = F.when(has_owner, F.substr(prefix, F.lit(7)))
+    has_precision = F.contains(rest, F.lit("."))
+    digits = F.substring_index(rest, ".", -1)
+    name = F.when(has_precision, F.substr(rest, F.lit(1), F.length(rest) - F.length(digits) - 1)).otherwise(rest)
+    precision = F.when(has_precision, digits.try_cast("int"))
+    valid = (
+        token.rlike(TOKEN_CHARACTERS)
+        & number.isNotNull()
+        & (~has_owner | F.lower(prefix).startswith("spell."))
+        & (~has_precision | (precision.isNotNull() & digits.rlike(r"^\s*[+-]?\d+\s*$")))
+    )
+    return F.when(valid, F.struct(owner.alias("owner"), name.alias("name"), precision.alias("precision"), number.alias("factor")))
+
+
+def split_rank(name: Column) -> Column:
+    """{name, rank} of a name that ends in digits; null without such digits or with nothing before them."""
+    pattern = r"^(.*?[^\d])(\d+)$"
+    return F.when(name.rlike(pattern), F.struct(F.regexp_extract(name, pattern, 1).alias("name"), F.regexp_extract(name, pattern, 2).cast("int").alias("rank")))
+
+
+def mask(text: Column) -> Column:
+    """The text with tags, tokens, icons, includes and entities blanked by as many spaces."""
+    found, gaps = F.regexp_extract_all(text, F.lit(MASKED), F.lit(0)), F.split(text, MASKED, -1)
+    blank = F.transform(found, lambda m: F.repeat(F.lit(" "), F.length(m)))
+    return F.array_join(F.zip_with(gaps, blank, lambda g, b: F.concat(g, F.coalesce(b, F.lit("")))), "")
+
+
+def typed_numbers(text: Column) -> Column:
+    """Array of {text, start, end, value} of the numbers typed into a text, outside markup and tokens."""
+    found = _offsets(mask(text), _UNICODE + r"(?<![\w.])\d+(?:\.\d+)?(?:\s?%|st|nd|rd|th|x)?(?![\w])")
+    number = lambda t: F.regexp_extract(t, r"^\d+(?:\.\d+)?", 0).cast("double")
+    return F.transform(found, lambda m: F.struct(m["text"].alias("text"), m["start"].alias("start"), m["end"].alias("end"), number(m["text"]).alias("value")))
+
+
+def around(text: Column, start: Column, end: Column, width: int) -> Column:
+    """The text from ``width`` characters before start to ``width`` after end."""
+    first = F.greatest(F.lit(0), start - width)
+    return F.substr(text, first + 1, end + width - first)
+
+
+def fill(text: Column, values: Column) -> Column:
+    """The text with each token replaced by its value; values maps token names to strings, others stay."""
+    return F.aggregate(F.array_distinct(tokens(text)), text, lambda t, k: F.when(F.element_at(values, k).isNotNull(), F.replace(t, F.concat(F.lit("@"), k, F.lit("@")), F.element_at(values, k))).otherwise(t))
+
+
+def base_name(name: Column, rounds: int = 8) -> Column:
+    """{base, had}: the name without its affixes, in lower case, and whether it had one.  The name is never emptied."""
+    # a fold, so that the expression does not grow with the rounds
+    def once_more(n: Column, _: Column) -> Column:
+        cut = _first_removed(n)
+        return F.when(cut == "", n).otherwise(cut)
+
+    out = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), name, once_more)
+    return F.struct(F.lower(out).alias("base"), (out != name).alias("had"))
+
+
+def _first_removed(name: Column) -> Column:
+    """The name without the first match of an affix."""
+    lead = F.regexp_replace(name, r"(?i)^(?:tooltiponly|fortooltip|tooltip|display|tt)_?", "")
+    tail = F.regexp_replace(name, r"(?i)_?(?:tooltiponly|fortooltip|tooltip|display|tt)$", "")
+    return F.when(lead != name, lead).otherwise(tail)
+
+
+def token_name(token: Column) -> Column:
+    """The name that a token reads: what follows ``spell.Owner:``, without the factor."""
+    name = F.when(F.lower(token).startswith("spell."), F.substring_index(token, ":", -1)).otherwise(token)
+    return F.substring_index(name, "*", 1)
+
+
+def plain_name(token: Column) -> Column:
+    """token_name without a precision."""
+    return F.regexp_replace(token_name(token), r"\.\d+$", "")
+
+
+def name_link(a: Column, b: Column) -> Column:
+    """Whether two names are equal or one of four or more characters is within the other (case counts not)."""
+    x, y = F.lower(a), F.lower(b)
+    return (x == y) | ((F.least(F.length(x), F.length(y)) >= 4) & (F.contains(x, y) | F.contains(y, x)))
+
+
+def camel_words(name: Column) -> Column:
+    """Words of a CamelCase name in lower case."""
+    return F.transform(F.regexp_extract_all(name, F.lit(CAMEL), F.lit(0)), F.lower)
+
+
+def related(a: Column, b: Column, ignored: Sequence[str] = ()) -> Column:
+    """Whether two names share a word that is not ignored."""
+    own = lambda x: F.array_except(camel_words(x), F.array(*map(F.lit, ignored)).cast("array<string>"))
+    return F.arrays_overlap(own(a), own(b))
+
+
+def rename_tokens(text: Column, spans: Column, new_name: Column) -> Column:
+    """The text with ``@new_name@`` in place of each {start, end} of spans (sorted by start), right to left."""
+    put = F.concat(F.lit("@"), new_name, F.lit("@"))
+    return F.aggregate(F.reverse(spans), text, lambda t, s: F.concat(F.substr(t, F.lit(1), s["start"]), put, F.substr(t, s["end"] + 1)))
+
+
+def word_after(text: Column, end: Column) -> Column:
+    """The word that follows a position, in lower case; empty without one."""
+    return F.lower(F.regexp_extract(F.substr(text, end + 1), r"^\s*([A-Za-z]+)", 1))
+
+
+def fixed(x: Column, decimals: int | Column = 2) -> Column:
+    """A number with at most so many decimals (0 to 6), without trailing zeros and without ``-0``."""
+    if isinstance(decimals, int):
+        d = max(0, min(decimals, 6))
+        s = F.format_string(f"%.{d}f", x.cast("double"))
+        s = F.regexp_replace(s, r"\.?0+$", "") if d else s
+    else:
+        s = F.lit(None).cast("string")
+        for d in range(7):
+            s = F.when(F.greatest(F.lit(0), F.least(decimals, F.lit(6))) == d, fixed(x, d)).otherwise(s)
+        return s
+    return F.when(s == "-0", "0").otherwise(s)
+
+
+def name_continues(name: Column, seed: Column) -> Column:
+    """Whether a name starts with the seed and the seed ends at a word boundary."""
+    nxt = F.substr(name, F.length(seed) + 1, F.lit(1))
+    return name.startswith(seed) & ((nxt == "") | nxt.rlike("[A-Z0-9_]"))
+
+
+def path_name(path: Column) -> Column:
+    """What stands after the last slash."""
+    return F.substring_index(path, "/", -1)
+
+
+def strip_tags(text: Column) -> Column:
+    """The text without its tags; one that separates words becomes a space."""
+    return F.regexp_replace(F.regexp_replace(text, BREAK, " "), TAG, "")
+
+
+def _trimmed(s: Column) -> Column:
+    s = F.regexp_replace(s, r"^[ ,;:]+|[ ,;:]+$", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(s, r"[.,;:]+$", ""), r"^\.+(?!\d)", ""))
+
+
+def reduce_names(names: Column, words: int = 8) -> Column:
+    """Tokens that a flag names, once each in order; or else its quoted words (at most ``words``), in quotes."""
+    text = F.coalesce(names, F.lit(""))
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(PLACEHOLDER), F.lit(0)))
+    quoted = F.regexp_extract_all(text, F.lit(QUOTED), F.lit(0))
+    inner = F.array_join(F.transform(quoted, lambda q: F.substr(q, F.lit(2), F.length(q) - 2)), " ")
+    raw = strip_tags(F.when(F.size(quoted) > 0, inner).otherwise(text))
+    raw = F.regexp_replace(F.regexp_replace(raw, "^[^<>]*>", ""), "<[^<>]*$", "")
+    taken = F.slice(F.filter(F.split(raw, r"\s+"), lambda w: w != ""), 1, words)
+    return F.when(F.size(found) > 0, F.array_join(found, " ")).otherwise(F.concat(F.lit('"'), _trimmed(F.array_join(taken, " ")), F.lit('"')))
+
+
+def sentences(text: Column) -> Column:
+    """Sentences, cut after ``.``, ``!`` or ``?`` and white space."""
+    return F.split(text, r"(?<=[.!?])\s+", -1)
+
+
+def quote_for(text: Column, names: Sequence[str], limit: int = 300) -> Column:
+    """Sentences that hold one of the names, joined by `` ... ``, cut at ``limit`` with an ellipsis; all if none does."""
+    hit = lambda s: F.exists(F.array(*map(F.lit, names)), lambda n: F.contains(F.lower(s), F.lower(n)))
+    own = F.filter(sentences(text), hit) if names else F.array().cast("array<string>")
+    out = F.when(F.size(own) > 0, F.array_join(own, " ... ")).otherwise(text)
+    return F.when(F.length(out) > limit, F.concat(F.rtrim(F.substr(out, F.lit(1), F.lit(limit - 3))), F.lit("..."))).otherwise(out)
+
+
+def per_rank_joined(display: Column) -> Column:
+    """Displays of all ranks as one string: equal ones once, a shared end from `` (`` on once, others by ``/``."""
+    first = F.element_at(display, 1)
+    cuts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(first), F.lit(1))), lambda i: F.substr(first, i, F.lit(2)) == " (")
+    works = lambda i: F.forall(display, lambda d: d.endswith(F.substr(first, i)) & (F.length(d) > F.length(first) - i + 1))
+    cut = F.get(F.filter(cuts, works), F.lit(0))
+    tail = F.substr(first, cut)
+    heads = F.transform(display, lambda d: F.substr(d, F.lit(1), F.length(d) - F.length(tail)))
+    return (
+        F.when(display.isNull() | (F.size(display) == 0), F.lit(None).cast("string"))
+        .when(F.size(F.array_distinct(display)) == 1, first)
+        .when(cut.isNull(), F.array_join(display, "/"))
+        .otherwise(F.concat(F.array_join(heads, "/"), tail))
+    )
+
+
+def once(values: Column) -> Column:
+    """The value of an array whose elements are all equal; null otherwise (an empty array too)."""
+    return F.when((F.size(values) > 0) & (F.size(F.array_distinct(values)) == 1), F.element_at(values, 1))
+
+
+def short_key(key: Column, known: Mapping[str, str]) -> Column:
+    """A field's short name: from the list, or without a leading m before a capital."""
+    listed = F.create_map(*(F.lit(x) for kv in known.items() for x in kv)) if known else F.create_map().cast("map<string,string>")
+    return F.coalesce(F.element_at(listed, key), F.when(key.rlike("^m[A-Z]"), F.substr(key, F.lit(2))).otherwise(key))
+
+
+#: Cascade of the line classifier: name of the feature and pattern.  The patterns are this library's own.
+LINE_FEATURES = {
+    "text": r"(?i)\b(?:tooltips?|descriptions?|text|wording|typos?|labels?)\b",
+    "fix": r"(?i)\b(?:fix(?:ed|es)?|correct(?:ed|s|ly)?|no longer|now (?:properly|correctly))\b",
+    "number": r"(?i)\b(?:values?|numbers?|amounts?|damage|ratios?|percent(?:age)?|cooldowns?|costs?)\b|\d",
+    "wording": r"(?i)\b(?:typos?|wording|grammar|spelling|clarif\w+|reworded)\b",
+    "translation": r"(?i)\b(?:translat\w+|locali[sz]\w+|languages?)\b",
+    "improvement": r"(?i)\b(?:improved|updated|clarified|added)\b",
+}
+
+
+def classify_line(line: Column, section_is_fixes: Column | None = None) -> Column:
+    """{kind, confidence, notes} of a line; null if it is under 12 characters or speaks of no text.
+
+    kind is translation, wording, typed_number or other, tried in this order (a wording line with
+    numbers is typed_number unless it names a typo or spelling); confidence is high if the line has a
+    fix signal (or stands in a section of fixes) and earned no note.
+    """
+    has = {k: F.coalesce(line.rlike(p), F.lit(False)) for k, p in LINE_FEATURES.items()}
+    fixes = has["fix"] | (section_is_fixes if section_is_fixes is not None else F.lit(False))
+    strong = line.rlike(r"(?i)\b(?:typos?|spelling|grammar)\b")
+    kind = F.when(has["translation"], "translation").when(has["wording"] & strong, "wording").when(has["number"], "typed_number").when(has["wording"], "wording").otherwise("other")
+    notes = F.array_compact(F.array(F.when(has["improvement"] & ~fixes, F.lit("improvement")), F.when(~fixes, F.lit("no fix signal"))))
+    confidence = F.when(fixes & (F.size(notes) == 0), "high").otherwise("low")
+    return F.when((F.length(line) >= 12) & has["text"], F.struct(kind.alias("kind"), confidence.alias("confidence"), F.array_join(notes, "; ").alias("notes")))
