@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch.  Texts may be very long, so batches are also bounded by bytes.
 BATCH_ROWS = 1000
@@ -45,3 +46,19 @@ def free_name(df: DataFrame, want: str) -> str:
     while want.lower() in have:
         want = f"_{want}"
     return want
+
+
+def set_aside(df: DataFrame, *but: str) -> tuple[DataFrame, list[str], list[str]]:
+    """df with all columns but some renamed to names that an operator cannot clash with; (df, own names, new names).
+
+    The columns of ``but`` (compared without case) keep their place but not in the lists.
+    """
+    skip = {c.lower() for c in but}
+    keep = [c for c in df.columns if c.lower() not in skip]
+    new = [f"__kept{i}" for i in range(len(keep))]
+    return df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, new, strict=True)), *(F.col(f"`{c}`") for c in df.columns if c.lower() in skip)), keep, new
+
+
+def restored(keep: list[str], new: list[str]) -> list:
+    """Columns that set_aside renamed, under their own names."""
+    return [F.col(n).alias(c) for c, n in zip(keep, new, strict=True)]

@@ -25,6 +25,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexaudit.llm._util import restored, set_aside
+
 #: Phrases of the base scan and their labels.
 PHRASES = {
     "under the mit license": "mit",
@@ -89,9 +91,10 @@ def scan_licenses(docs: DataFrame, *, text: str = "text", phrases: Mapping[str,
     if len(vocab) > max_template_words:
         raise ValueError(f"templates have over {max_template_words} words")
     new = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
-    keep = [c for c in docs.columns if c.lower() not in (*new, text.lower())]
+    own = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in new or c.lower() == text.lower()))
+    own, names_kept, keep = set_aside(own, text)
     half = window // 2
-    base = docs.select(*keep, F.monotonically_increasing_id().alias("_rid"), normalised(F.col(text)).alias("_norm")).withColumn("_low", F.lower("_norm"))
+    base = own.select(*keep, F.monotonically_increasing_id().alias("_rid"), normalised(F.col(text)).alias("_norm")).withColumn("_low", F.lower("_norm"))
     tokens = F.array_intersect(F.split("_low", " "), F.array(*map(F.lit, vocab)) if vocab else F.array().cast("array<string>"))
     # document frequencies of the templates' words over all documents; as many rows as the templates have words
     df = {r[0]: r[1] for r in base.select(F.explode(tokens).alias("t")).groupBy("t").count().collect()} if vocab else {}
@@ -133,7 +136,7 @@ def scan_licenses(docs: DataFrame, *, text: str = "text", phrases: Mapping[str,
     lo = F.array_min(F.array(*(p["first"] for p in places))) if places else F.lit(None).cast("long")
     hi = F.array_max(F.array(*(p["last"] for p in places))) if places else F.lit(None).cast("long")
     return g.select(
-        *keep,
+        *restored(names_kept, keep),
         "n_words",
         n_base.alias("n_base"),
         lo.alias("first_word"),

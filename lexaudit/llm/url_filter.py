@@ -19,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexaudit.llm._util import restored, set_aside
+
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 
 #: The rules of the registered query: verdict, host, path.
@@ -72,10 +74,12 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, url: str = "url", default
     if len(shapes) > 10_000:
         raise ValueError("the rules have over 10,000 combinations of label count and path length")
     n_rules = r.limit(broadcast_rules + 1).count()
-    keep = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
-    p = pages.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.monotonically_increasing_id().alias("_rid"))
+    own = pages.select(*(F.col(f"`{c}`") for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")))
+    p, names, keep = set_aside(own)
+    at = keep[[c.lower() for c in names].index(url.lower())]
+    p = p.select(*keep, host_of(F.col(at)).alias("host"), path_of(F.col(at)).alias("path"), F.monotonically_increasing_id().alias("_rid"))
     if not shapes:
-        return p.drop("_rid").withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+        return p.select(*restored(names, keep), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     labels = F.size(F.split("host", r"\.", -1))
     pairs = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(n).alias("n")) for k, n in sorted(shapes)))
     fits = F.filter(pairs, lambda x: (x["k"] <= labels) & (x["n"] <= F.length("path")))
@@ -86,7 +90,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, url: str = "url", default
     j = e.join(F.broadcast(r) if small else r, "_k", "left").withColumn("_ok", F.sha2("_key", 256) == F.col("_digest"))
     best = F.max(F.when(F.col("_ok"), F.struct(F.length("_rule").alias("l"), F.col("_rule").alias("r"), (F.col("_v") == "block").alias("b"), F.col("_v").alias("v"))))
     out = j.groupBy("_rid").agg(*(F.first(c).alias(c) for c in [*keep, "host", "path"]), best.alias("_b"))
-    return out.select(*keep, "host", "path", F.col("_b.r").alias("rule"), F.coalesce("_b.v", F.lit(default)).alias("verdict"))
+    return out.select(*restored(names, keep), "host", "path", F.col("_b.r").alias("rule"), F.coalesce("_b.v", F.lit(default)).alias("verdict"))
 
 
 def _suffix(host: str, k: Column) -> Column:
