@@ -125,8 +125,8 @@ def decode_coefficients(data: bytes) -> Image:
     """Coefficients (in zigzag order) of all components after all scans."""
     if data[:2] != b"\xff\xd8":
         raise JpegError("not a JPEG")
-    at, image, quant, dc, ac, restart, comment = 2, None, {}, {}, {}, 0, b""
-    while at + 4 <= len(data):
+    at, image, quant, dc, ac, restart, comment, ended = 2, None, {}, {}, {}, 0, b"", False
+    while at + 2 <= len(data):
         if data[at] != 0xFF:
             raise JpegError("no marker where one is due")
         marker = data[at + 1]
@@ -134,6 +134,7 @@ def decode_coefficients(data: bytes) -> Image:
             at += 1
             continue
         if marker == 0xD9:
+            ended = True
             break
         size = int.from_bytes(data[at + 2 : at + 4], "big")
         body = data[at + 4 : at + 2 + size]
@@ -169,6 +170,8 @@ def decode_coefficients(data: bytes) -> Image:
             at = end
     if image is None:
         raise JpegError("no frame")
+    if not ended:
+        raise JpegError("the file is cut short")
     image.comment = comment
     return image
 
