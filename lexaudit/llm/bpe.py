@@ -2,13 +2,14 @@
 
 1. Texts are cut into pre-tokens by the pattern, block by block of a scan's partition.  A block has its
    distinct words, numbered as they first occur, and for each document the word numbers by position.
-2. The words of all blocks are dealt out by word and sorted, so that equal words stand together: each
+2. The words of all blocks are dealt into buckets by a hash of the word, so that equal words meet: each
    distinct word is merged into ids once, by the ranks, and its ids return to the blocks that hold it.
 3. Blocks meet their words again, and documents are put together by position.  Decoding looks every id up
    in the table of token bytes, which is as long as the vocabulary and travels in a broadcast.
 
-A word appears once a block however often it occurs, so a very common word costs one narrow row a block.
-Word numbers are packed by zstd, so what moves is less than the text itself; texts do not move.
+A word appears once a block however often it occurs, so a very common word weighs no more than others.
+Words, ids and word numbers are packed by zstd, so what moves is less than the stored text; texts do not
+move.  There are twice as many buckets as shuffle partitions, and a block has one row in each.
 Blocks are bounded by ``block_bytes`` of text beside one very long document.  A block's name is made of its
 place in the scan, so the documents must come from a scan that reads the same rows in the same order
 each time; a check sum of its words ties the two readings together and fails the job where they differ.
@@ -33,7 +34,9 @@ from pyspark.sql import DataFrame, SparkSession
 from lexaudit.llm._util import small_batches
 
 #: Bytes of text in a block.
-BLOCK_BYTES = 12 * 1024 * 1024
+BLOCK_BYTES = 16 * 1024 * 1024
+#: Words whose ids a worker remembers within a bucket.
+WORDS_REMEMBERED = 500_000
 
 _cache: dict[str, object] = {}
 
@@ -115,64 +118,112 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, block_bytes: int, n
         yield part << 32 | n, words, ids, docs
 
 
+def _dealt(words: dict[str, int], buckets: int) -> list[list[tuple[bytes, int]]]:
+    """(word, number) of a block by bucket, sorted in each: the order in which ids come back."""
+    out: list[list[tuple[bytes, int]]] = [[] for _ in range(buckets)]
+    for number, word in enumerate(words):
+        w = word.encode("utf-8", "surrogatepass")
+        out[zlib.crc32(w) % buckets].append((w, number))
+    for own in out:
+        own.sort()
+    return out
+
+
 def _check_sum(words: dict[str, int]) -> int:
     return zlib.crc32("\x00".join(words).encode("utf-8", "surrogatepass"))
 
 
-def distinct_words(docs: DataFrame, pattern: str, block_bytes: int) -> DataFrame:
-    """(word, block, number, check): the distinct words of every block; check is the block's sum, at number 0 only."""
+def _squeezed(numbers: np.ndarray, rest: bytes = b"") -> bytes:
+    """Numbers by byte planes, and further bytes, packed by zstd."""
+    n = numbers.astype("<u4")
+    return zstandard.ZstdCompressor(level=3).compress(len(n).to_bytes(8, "little") + n.view(np.uint8).reshape(-1, 4).T.tobytes() + rest)
+
+
+def _spread(data: bytes) -> tuple[np.ndarray, bytes]:
+    """What _squeezed was given."""
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int.from_bytes(raw[:8], "little")
+    planes = np.frombuffer(raw, np.uint8, 4 * n, 8).reshape(4, n)
+    return planes.T.copy().view("<u4").ravel(), raw[8 + 4 * n :]
+
+
+def distinct_words(docs: DataFrame, pattern: str, block_bytes: int, buckets: int) -> DataFrame:
+    """(bucket, block, check, words): the distinct words of every block, one row for each bucket that has any.
+
+    A word's bucket is told by its hash.  Words are packed with their lengths; check is the block's sum.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, words, _, _ in _blocks(batches, pattern, block_bytes, False):
-            all_words = list(words)
-            total = _check_sum(words)
-            for at in range(0, len(all_words), 50_000):
-                part = all_words[at : at + 50_000]
-                k = len(part)
-                check = np.full(k, -1, np.int64)
-                if not at:
-                    check[0] = total
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(np.full(k, block)), pa.array(np.arange(at, at + k, dtype=np.int32)), pa.array(check)], ["word", "block", "number", "check"])
+            total, kept, packed = _check_sum(words), [], []
+            for bucket, own in enumerate(_dealt(words, buckets)):
+                if own:
+                    kept.append(bucket)
+                    packed.append(_squeezed(np.fromiter((len(w) for w, _ in own), np.uint32, len(own)), b"".join(w for w, _ in own)))
+            k = len(kept)
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int32()), pa.array(np.full(k, block)), pa.array(np.full(k, total)), pa.array(packed, pa.binary())], ["bucket", "block", "check", "words"])
 
-    return docs.mapInArrow(run, "word string, block long, number int, check long")
+    return docs.mapInArrow(run, "bucket int, block long, check long, words binary")
 
 
 def encoded_words(words: DataFrame, data, pattern: str) -> DataFrame:
-    """(block, number, check, ids): each distinct word is encoded once, then given to every block that holds it."""
+    """(bucket, block, check, ids): each distinct word of a bucket is encoded once, for all blocks that hold it.
+
+    The rows of a bucket stand together.  Ids known so far are remembered up to WORDS_REMEMBERED words;
+    a bucket with more of them costs time, not memory or correctness.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoding(data.value, pattern)._core_bpe.encode_single_piece
-        last, ids = None, b""
+        known: dict[bytes, bytes] = {}
+        last = None
         for b in batches:
             out = []
-            for w in b.column(0).to_pylist():
-                if w != last:
-                    last, ids = w, np.array(encode(w.encode("utf-8", "surrogatepass")), "<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(out, pa.binary())], ["block", "number", "check", "ids"])
-
-    return words.repartition("word").sortWithinPartitions("word").mapInArrow(run, "block long, number int, check long, ids binary")
-
-
-def numbered_documents(docs: DataFrame, pattern: str, block_bytes: int) -> DataFrame:
-    """(block, check, lengths, numbers, ids): every block's documents as packed word numbers, in one row."""
+            for bucket, packed in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if bucket != last or len(known) > WORDS_REMEMBERED:
+                    known, last = {}, bucket
+                lengths, raw = _spread(packed)
+                ids, at = [], 0
+                for n in lengths.tolist():
+                    w = raw[at : at + n]
+                    at += n
+                    got = known.get(w)
+                    if got is None:
+                        got = known[w] = np.array(encode(w), "<u4").tobytes()
+                    ids.append(got)
+                counts = np.fromiter(map(len, ids), np.uint32, len(ids)) // 4
+                out.append(_squeezed(counts, _squeezed(np.frombuffer(b"".join(ids), "<u4"))))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.binary())], ["bucket", "block", "check", "ids"])
+
+    return words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket int, block long, check long, ids binary")
+
+
+def numbered_documents(docs: DataFrame, pattern: str, block_bytes: int, buckets: int) -> DataFrame:
+    """(block, check, lengths, numbers, places, doc_ids): every block's documents as packed word numbers, in one row.
+
+    places has the number of each word in the order in which ids come back.
+    """
+    name = docs.schema["doc_id"].dataType.simpleString()
+    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
         for block, words, ids, arrays in _blocks(batches, pattern, block_bytes, True):
-            numbers = np.concatenate(arrays)
-            planes = numbers.view(np.uint8).reshape(-1, 4).T.copy().tobytes()
-            keys = pa.concat_arrays([pa.array([i.as_py() for i in ids], kind)])
+            places = np.fromiter((n for own in _dealt(words, buckets) for _, n in own), np.uint32, len(words))
             offsets = pa.array([0, len(ids)], pa.int32())
-            lengths = pa.ListArray.from_arrays(offsets, pa.array([len(a) for a in arrays], pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([_check_sum(words)], pa.int64()), lengths, pa.array([pack(planes)], pa.binary()), pa.ListArray.from_arrays(offsets, keys)], ["block", "check", "lengths", "numbers", "doc_ids"])
+            columns = [
+                pa.array([block]),
+                pa.array([_check_sum(words)], pa.int64()),
+                pa.ListArray.from_arrays(offsets, pa.array([len(a) for a in arrays], pa.int64())),
+                pa.array([_squeezed(np.concatenate(arrays))], pa.binary()),
+                pa.array([_squeezed(places)], pa.binary()),
+                pa.ListArray.from_arrays(offsets, pa.array([i.as_py() for i in ids], kind)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "check", "lengths", "numbers", "places", "doc_ids"])
 
-    name = docs.schema["doc_id"].dataType.simpleString()
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[name]
-    return docs.mapInArrow(run, f"block long, check long, lengths array<long>, numbers binary, doc_ids array<{name}>")
+    return docs.mapInArrow(run, f"block long, check long, lengths array<long>, numbers binary, places binary, doc_ids array<{name}>")
 
 
-def encode_decode(docs: DataFrame, *, ranks_path: str, pattern: str = public_tokenizers.PATTERN, block_bytes: int = BLOCK_BYTES, with_ids: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, *, ranks_path: str, pattern: str = public_tokenizers.PATTERN, block_bytes: int = BLOCK_BYTES, word_buckets: int | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, decoded) of every whole text.
 
     A null text counts as empty: no tokens, the sums of nothing.  Repeated rows and null ids get a row
@@ -183,8 +234,9 @@ def encode_decode(docs: DataFrame, *, ranks_path: str, pattern: str = public_tok
     with open(ranks_path, "rb") as f:
         data = spark.sparkContext.broadcast(f.read())
     src = docs.selectExpr("doc_id", "CAST(text AS string) AS text")
-    words = encoded_words(distinct_words(src, pattern, block_bytes), data, pattern)
-    blocks = numbered_documents(src, pattern, block_bytes)
+    buckets = word_buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    words = encoded_words(distinct_words(src, pattern, block_bytes, buckets), data, pattern)
+    blocks = numbered_documents(src, pattern, block_bytes, buckets)
     name = src.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * with_ids]
 
@@ -192,20 +244,21 @@ def encode_decode(docs: DataFrame, *, ranks_path: str, pattern: str = public_tok
         rows: list[list] = [[] for _ in names]
         if not own.num_rows:
             raise ValueError("words of a block without documents: the two readings of the input differ")
-        number = theirs.column("number").to_numpy()
-        check = theirs.column("check").to_numpy()
-        if own.num_rows > 1 or [own.column("check")[0].as_py()] != ([int(x) for x in check[check >= 0]] or [_check_sum({})]):
+        check = set(theirs.column("check").to_pylist()) or {_check_sum({})}
+        if own.num_rows > 1 or {own.column("check")[0].as_py()} != check:
             raise ValueError("the words of a block differ: the input is not read in the same order each time")
-        column = theirs.column("ids").combine_chunks()
-        column = column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks or [pa.array([], pa.binary())])
         # the ids of word i at starts[i] : starts[i + 1]
-        by_number = np.argsort(number, kind="stable")
-        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // 4 if len(column) else np.zeros(1, np.int32)
-        flat = np.frombuffer(column.buffers()[2], "<u4") if len(column) and column.buffers()[2] else np.zeros(0, "<u4")
-        flat = gather(flat, ends.astype(np.int64), by_number)
-        starts = np.concatenate([[0], np.cumsum((ends[1:] - ends[:-1])[by_number])])
-        planes = zstandard.ZstdDecompressor().decompress(own.column("numbers")[0].as_py())
-        numbers = np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
+        packed = theirs.sort_by("bucket").column("ids").to_pylist()
+        parts = [(counts, _spread(rest)[0]) for counts, rest in map(_spread, packed)]
+        none = [np.zeros(0, np.uint32)]
+        counts = np.concatenate([c for c, _ in parts] or none).astype(np.int64)
+        flat = np.concatenate([i for _, i in parts] or none)
+        places = _spread(own.column("places")[0].as_py())[0].astype(np.int64)
+        order = np.empty(len(places), np.int64)
+        order[places] = np.arange(len(places))
+        flat = gather(flat, np.concatenate([[0], np.cumsum(counts)]), order)
+        starts = np.concatenate([[0], np.cumsum(counts[order])])
+        numbers = _spread(own.column("numbers")[0].as_py())[0]
         at = 0
         for doc_id, n in zip(own.column("doc_ids")[0].as_py(), own.column("lengths")[0].as_py(), strict=True):
             ids = gather(flat, starts, numbers[at : at + n].astype(np.int64))
