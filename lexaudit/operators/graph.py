@@ -54,3 +54,91 @@ def reachable(edges: DataFrame, a: str, b: str, max_steps: int = 10) -> DataFram
             break
         seen = seen.unionByName(fresh)
     return seen
+
+
+# -- groups of a file's entries -------------------------------------------------------------------
+
+#: Names that take no part in linking, and prefixes of names that join no group.
+ATTACKS = r"(?i)basicattack|critattack"
+GAME_MODES = ("nightmarebot", "odyssey", "strawberry_")
+UNREAD = ("mScriptName", "mLocKeys", "mAlternateName", "__type")
+LINKED = "names or is named by a spell of the group"
+
+
+def strings_of(objects: DataFrame) -> DataFrame:
+    """(folder, path, value) of every string in the JSON objects(folder, path, obj), but under fields of labels and own names."""
+    import json
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            rows = []
+            for folder, path, obj in zip(p["folder"], p["path"], p["obj"], strict=True):
+                todo = [json.loads(obj)]
+                while todo:
+                    x = todo.pop()
+                    if isinstance(x, dict):
+                        todo += [v for k, v in x.items() if k not in UNREAD]
+                    elif isinstance(x, list):
+                        todo += x
+                    elif isinstance(x, str):
+                        rows.append((folder, path, x))
+            yield pd.DataFrame(rows, columns=["folder", "path", "value"])
+
+    return objects.select("folder", "path", "obj").mapInPandas(run, "folder string, path string, value string").distinct()
+
+
+def links(strings: DataFrame, names: DataFrame) -> DataFrame:
+    """(folder, a, b), both ways, of entries one of which names the other; names(folder, name, path), the first path of a name."""
+    n = names.groupBy("folder", F.lower("name").alias("low")).agg(F.min("path").alias("b"))
+    one = strings.select("folder", F.col("path").alias("a"), F.lower("value").alias("low")).join(n, ["folder", "low"]).where("a <> b").select("folder", "a", "b")
+    return one.unionByName(one.select("folder", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+
+
+def assign_groups(spells: DataFrame, edges: DataFrame, later: DataFrame | None = None) -> DataFrame:
+    """(folder, path, group, source, joined_by) of entries that share a group with another.
+
+    spells(folder, path, name, object_group, is_slot).  In order: the group of an ability object; a slot
+    entry starts one; the longest slot name that starts an entry's own at a word boundary; the later file's
+    object (later(folder, name, root, where)); and entries in no group that are linked to each other join
+    the one group that their links reach, if it is one.  Attacks join only by name, game-mode entries never.
+    """
+    key = ["folder", "path"]
+    low = F.lower("name")
+    mode = F.coalesce(low.startswith(GAME_MODES[0]) | low.startswith(GAME_MODES[1]) | low.startswith(GAME_MODES[2]), F.lit(False)) & F.col("object_group").isNull()
+    s = spells.withColumn("mode", mode).withColumn("attack", F.col("name").rlike(ATTACKS))
+    own = s.where("object_group IS NOT NULL").select(*key, F.col("object_group").alias("group"), F.lit("AbilityObject").alias("source"), F.lit("AbilityObject").alias("joined_by"))
+    seeds = s.where("is_slot AND NOT mode").select("folder", "path", "name", "object_group")
+    group = F.concat(F.lit("script name "), F.col("seed"))
+    started = seeds.where("object_group IS NULL").select(*key, F.concat(F.lit("script name "), "name").alias("group"), F.lit("slot spell").alias("source"), F.lit("slot spell").alias("joined_by"))
+    done = own.unionByName(started)
+    # the longest seed name wins; of equal ones the first path
+    free = s.join(done.select(*key), key, "left_anti").where("NOT mode")
+    by = seeds.select("folder", F.col("name").alias("seed"), F.col("path").alias("seed_path"))
+    starts = free.join(by, "folder").where(F.col("seed") != "")
+    nxt = F.substr("name", F.length("seed") + 1, F.lit(1))
+    starts = starts.where((F.length("name") == F.length("seed")) | nxt.rlike("[A-Z0-9_]")).where(F.lower(F.substr("name", F.lit(1), F.length("seed"))) == F.lower("seed"))
+    best = starts.groupBy(*key).agg(F.min_by("seed", F.struct(-F.length("seed"), "seed_path")).alias("seed"))
+    done = done.unionByName(best.select(*key, group.alias("group"), F.lit("slot spell").alias("source"), F.lit("script-name prefix").alias("joined_by")))
+    if later is not None:
+        free = s.join(done.select(*key), key, "left_anti").where("NOT mode AND NOT attack")
+        found = free.withColumn("_low", F.lower("name")).join(later.select("folder", F.lower("name").alias("_low"), F.lower("root").alias("_root"), "where"), ["folder", "_low"])
+        found = found.join(by.select("folder", "seed", F.lower("seed").alias("_root")), ["folder", "_root"])
+        done = done.unionByName(found.select(*key, group.alias("group"), F.lit("slot spell").alias("source"), F.concat(F.lit("AbilityObject in "), "where").alias("joined_by")))
+    done = written(done, "groups")
+    # linked entries: those of ability objects, game modes and attacks take no part
+    out_of = s.where("object_group IS NOT NULL OR mode OR attack").select("folder", F.col("path").alias("x"))
+    e = edges.join(out_of, (edges["folder"] == out_of["folder"]) & (F.col("a") == F.col("x")), "left_anti").join(out_of.withColumnRenamed("folder", "f2"), (F.col("folder") == F.col("f2")) & (F.col("b") == F.col("x")), "left_anti")
+    joined = done.select("folder", F.col("path").alias("b"), "group")
+    loose = e.join(done.select("folder", F.col("path").alias("a")), ["folder", "a"], "left_anti")
+    reach = loose.join(joined, ["folder", "b"]).select(F.concat_ws("\x00", "folder", "a").alias("node"), "group")
+    among = loose.join(joined, ["folder", "b"], "left_anti").select(F.concat_ws("\x00", "folder", "a").alias("a"), F.concat_ws("\x00", "folder", "b").alias("b"))
+    alone = reach.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    comps = connected_components(among.unionByName(alone), "a", "b")
+    one = comps.join(reach, "node").groupBy("component").agg(F.count_distinct("group").alias("n"), F.min("group").alias("group")).where("n = 1")
+    last = comps.join(one, "component").select(F.split("node", "\x00").alias("n"), "group")
+    done = done.unionByName(last.select(F.col("n")[0].alias("folder"), F.col("n")[1].alias("path"), "group", F.lit("slot spell").alias("source"), F.lit(LINKED).alias("joined_by")))
+    shared = done.groupBy("folder", "group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return done.join(shared, ["folder", "group"]).select("folder", "path", "group", "source", "joined_by")
