@@ -8,10 +8,11 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from tokenizers import Tokenizer
 
-from lexaudit.llm.bpe import _spread, decode, distinct_words, encode_decode, encoded_words, gather, load_ranks, numbered_documents
+from lexaudit.llm.bpe import SLOW, _spread, decode, distinct_words, encode_decode, encoded_words, gather, load_ranks, numbered_documents, pre_tokens
 from lexaudit.llm.packing import Places, best_fit, complete, cuts, fillings, pack, pack_documents, sequences
 from tests.conftest import SF
 
@@ -25,6 +26,19 @@ def test_gather():
     assert gather(data, starts, np.array([1])).tolist() == [] and gather(data, starts, np.array([], int)).tolist() == []
 
 
+def test_fast_matcher():
+    rnd = random.Random(9)
+    find, slow = pre_tokens(public_tokenizers.PATTERN), regex.compile(public_tokenizers.PATTERN).findall
+    chars = "aZé '_-.!9٣²½\x1c\x85\xa0\u2028\n\t漢🙂ſßıʼn\u0301ªº'stmdrevl"
+    for _ in range(3000):
+        t = "".join(rnd.choice(chars) for _ in range(rnd.randint(0, 25)))
+        assert find(t) == slow(t), t
+    plain = "".join(c for c in map(chr, range(0x558)) if not SLOW.search(c))
+    for pair in ("", "a", " ", "1", "'"):
+        for c in plain:
+            assert find(pair + c + pair) == slow(pair + c + pair)
+
+
 def test_bpe(spark):
     with open(RANKS, "rb") as f:
         raw = f.read()
