@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,15 +100,16 @@ def run_checker(records: DataFrame, done: DataFrame | None, call: Callable[[dict
     todo = records if done is None else records.join(done.where("NOT failed").select("id"), "id", "left_anti")
     schema = "id string, flags array<struct<names:string,reason:string>>, failed boolean, attempts int, error string, prompt_tokens long, completion_tokens long, cost double"
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            rows = [call_with_retries(call, r) for r in p.to_dict("records")]
-            frame = pd.DataFrame(rows, columns=["id", "flags", "failed", "attempts", "error", "prompt_tokens", "completion_tokens", "cost"])
-            for c in ("prompt_tokens", "completion_tokens"):
-                frame[c] = frame[c].astype("Int64")
-            yield frame
+    names = ["id", "flags", "failed", "attempts", "error", "prompt_tokens", "completion_tokens", "cost"]
+    flag = pa.struct([("names", pa.string()), ("reason", pa.string())])
+    types = [pa.string(), pa.list_(flag), pa.bool_(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.float64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [call_with_retries(call, r) for r in b.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in zip(names, types, strict=True)], names)
 
-    return todo.select("id", "input").mapInPandas(run, schema)
+    return todo.select("id", "input").mapInArrow(run, schema)
 
 
 def failed_calls(lines: DataFrame) -> DataFrame:

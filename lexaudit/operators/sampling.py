@@ -74,7 +74,7 @@ def quota_draw(candidates: list[dict], rules: Sequence[str], count: int, *, seed
         for r in rules:
             short = need[r] - got[r]
             others = [o for o in rules if o != r and able(o)]
-            if short > 0 and others:
+            if short > 0 and others and not able(r):
                 need[r] = got[r]
                 part = near_equal(short, len(others))
                 for o, n in zip(others, part, strict=True):

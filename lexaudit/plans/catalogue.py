@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from lexaudit.plans import audit, relational
+from lexaudit.plans import audit, relational, scoring
+from lexaudit.streaming import resume
 
-QUERIES = {**audit.QUERIES, **relational.Q}
-ORACLE_SQL = {**audit.SQL, **relational.SQL}
+QUERIES = {**audit.QUERIES, **relational.Q, **scoring.QUERIES, **resume.QUERIES}
+ORACLE_SQL = {**audit.SQL, **relational.SQL, **scoring.SQL, **resume.SQL}
