@@ -48,6 +48,20 @@ def free_name(df: DataFrame, want: str) -> str:
     return want
 
 
+def hash_sample(df: DataFrame, n: int, *key: str) -> DataFrame:
+    """n rows of df (all if fewer), the first in the order of a hash of their key: the same on every run.
+
+    Rows whose hash is too large to be among them are left out first, so that every task sends few rows
+    however many tasks there are.
+    """
+    total = df.count()
+    h = F.xxhash64(*key)
+    share = 4.0 * n / max(total, 1)
+    if share < 1.0:
+        df = df.where(h < F.lit(int(-(2**63) + share * 2**64)).cast("long"))
+    return df.orderBy(h, *key).limit(n)
+
+
 def set_aside(df: DataFrame, *but: str) -> tuple[DataFrame, list[str], list[str]]:
     """df with all columns but some renamed to names that an operator cannot clash with; (df, own names, new names).
 

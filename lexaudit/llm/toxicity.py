@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexaudit.llm._util import free_name, small_batches
+from lexaudit.llm._util import free_name, hash_sample, small_batches
 
 #: Bound of the training sample, in documents.
 TRAIN_DOCS = 12_000
@@ -110,7 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", train_docs:
     small_batches(spark)
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("_y"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
+    chosen = hash_sample(known, train_docs, "doc_id")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("_text")).join(F.broadcast(chosen), "doc_id")
     # repeated rows of one id: one text of them, so that the sample stays bounded
     rows = texts.groupBy("doc_id").agg(F.max("_text").alias("_text"), F.max("_y").alias("_y"))
