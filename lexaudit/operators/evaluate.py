@@ -19,6 +19,8 @@ from lexaudit.operators.windows import last_per_key
 
 SCRIPT = "script"
 ATTEMPTS = 4
+#: Runs of all methods, at most.
+MOST_RUNS = 1000
 #: Share of failed calls from which a run carries a warning.
 MOST_FAILED = 0.05
 
@@ -124,7 +126,12 @@ def judged(cases: DataFrame, flags: DataFrame, runs: DataFrame, verdicts: DataFr
     and by a method in a strict majority of its runs(method, run); verdicts is the cache (key, catch)."""
     hits = with_key(on_cases(cases, flags), "catch", "answer", "case_record", "text_field", "names").join(verdicts, "key")
     per_run = aggregates.any_match(hits, ["case_id", "method", "run"], F.col("catch"), "hit")
-    grid = cases.select(F.col("id").alias("case_id"), "set", "group").join(F.broadcast(runs.select("method", "run").distinct()))
+    # a handful of runs, as a literal beside every case
+    known = sorted((r["method"], r["run"]) for r in runs.select("method", "run").distinct().limit(MOST_RUNS + 1).collect())
+    if len(known) > MOST_RUNS:
+        raise ValueError(f"over {MOST_RUNS} runs")
+    each = F.array(*(F.struct(F.lit(m).alias("method"), F.lit(r).alias("run")) for m, r in known)).cast("array<struct<method:string,run:int>>")
+    grid = cases.select(F.col("id").alias("case_id"), "set", "group", F.explode(each).alias("_r")).select("case_id", "set", "group", "_r.method", "_r.run")
     full = grid.join(per_run, ["case_id", "method", "run"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
     return aggregates.majority(full, ["case_id", "set", "group", "method"], "hit")
 

@@ -244,8 +244,7 @@ def clopper_pearson_by_group(spark, d):
   FROM (SELECT source, CASE WHEN toxic = 1 THEN 'real' WHEN quality = 0 THEN 'unsure' ELSE 'not' END AS v, (SELECT count(*) FROM documents) AS records FROM labels JOIN documents USING (doc_id)) GROUP BY source""")
 def precision_per_1000(spark, d):
     v = F.when(F.col("toxic") == 1, "real").when(F.col("quality") == 0, "unsure").otherwise("not")
-    total = t(spark, d, "documents").agg(F.count(F.lit(1)).alias("records"))
-    rows = _labelled(spark, d).withColumn("v", v).join(F.broadcast(total))
+    rows = _labelled(spark, d).withColumn("v", v).withColumn("records", F.lit(t(spark, d, "documents").count()))
     return aggregates.precision(rows, ["source"], "v", F.col("records"), right="real", unsure="unsure")
 
 

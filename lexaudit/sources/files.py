@@ -116,6 +116,8 @@ def compact_json(df: DataFrame, name: str = "json") -> DataFrame:
 def manifest(errors: DataFrame, **facts) -> DataFrame:
     """One row: the facts of a set, the counts by rule and the list of errors by id, as JSON."""
     rows = F.array_sort(F.collect_list(F.struct(*sorted(errors.columns, key=lambda c: c != "id"))))
-    counts = errors.groupBy("rule").count().agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("rule", "count")))).alias("counts"))
+    # as many counts as there are rules
+    counts = errors.groupBy("rule").count().orderBy("rule").collect()
+    by_rule = F.create_map(*(F.lit(x) for r in counts for x in r)) if counts else F.create_map().cast("map<string,long>")
     one = errors.agg(F.count(F.lit(1)).alias("count"), rows.alias("errors"))
-    return one.join(F.broadcast(counts)).select(F.to_json(F.struct(*(F.lit(v).alias(k) for k, v in facts.items()), "count", "counts", "errors")).alias("manifest"))
+    return one.select(F.to_json(F.struct(*(F.lit(v).alias(k) for k, v in facts.items()), "count", by_rule.alias("counts"), "errors")).alias("manifest"))
