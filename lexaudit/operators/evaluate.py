@@ -40,6 +40,12 @@ def reduced_flags(lines: DataFrame) -> DataFrame:
     return f.select("method", "run", "id", F.coalesce("planted_id", "id").alias("match_id"), text.reduce_names(F.col("f.names")).alias("names"))
 
 
+def reduced_script_flags(flags: DataFrame) -> DataFrame:
+    """Script flags(id, names, start, ...) with reduced names: those of typed numbers by the words around the number."""
+    typed = text.typed_flag_words(F.col("names"), F.col("start"))
+    return flags.withColumn("names", text.reduce_names(F.coalesce(typed, F.col("names"))))
+
+
 def on_cases(cases: DataFrame, flags: DataFrame) -> DataFrame:
     """Flags on the record of each case: a real case by its record id, a planted one by its own id."""
     want = F.when(F.col("set") == "real", F.col("record_id")).otherwise(F.col("id"))

@@ -87,3 +87,15 @@ def test_statistics(ev):
     assert ci(10, 10) == (0.6915, 1) and ci(12, 12)[0] == 0.7354 and ci(5, 10) == (0.1871, 0.8129) and ci(0, 0) == (0, 1) and ci(0, 10)[0] == 0
     assert ci(217, 250) == (0.8196, 0.9074) or ci(217, 250) == pytest.approx((0.820, 0.907), abs=1e-3)
     assert ev(stats.binom_cdf(L(1000), L(2000), L(0.5))) == pytest.approx(0.5089, abs=1e-4) and ev(stats.binom_cdf(L(-1), L(5), L(0.5))) == 0
+
+
+def test_number_in_words(spark):
+    n = text.number_in_words
+    assert n("30", "he slow enemies by 30 percent for two seco") == '"enemies by 30 percent for"'
+    assert n("30", "by 30 percent", 3) == '"by 30 percent"' and n("30", "xx by 30 pe") == '"by 30"'
+    assert n("30", "first. Deals 30 damage. Then", 13) == '"Deals 30 damage."' and n("30", "gone") == '"30"'
+    assert n("30", "a <b>x</b>30<br>more words here now", 0) == '"a x30 more words"' or n("30", "a <b>x</b>30<br>more words here now", 0).startswith('"a x30')
+    df = spark.createDataFrame([('the typed number 30 in "by 30 percent"', 3), ("@A@ shows 3", None)], "names string, start int")
+    from lexaudit.operators.evaluate import reduced_script_flags
+
+    assert [r.names for r in reduced_script_flags(df).collect()] == ['"by 30 percent"', "@A@"]
