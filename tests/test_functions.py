@@ -44,7 +44,7 @@ def test_names(ev):
     assert base("TooltipDamageTT_Display") == ("damage", True) and base("Tooltip") == ("tooltip", False) and base("Damage") == ("damage", False)
     assert ev(text.camel_words(L("TotalAPDamage2x"))) == ["total", "ap", "damage", "2", "x"] and ev(text.related(L("TotalDamage"), L("DamageMax"), ["total"]))
     assert not ev(text.related(L("TotalA"), L("TotalB"), ["total"])) and ev(text.name_link(L("TotalDamage"), L("damage"))) and not ev(text.name_link(L("abc"), L("ab")))
-    assert ev(text.name_continues(L("SionWDetonate"), L("SionW"))) and not ev(text.name_continues(L("GarenRun"), L("GarenR")))
+    assert ev(text.name_continues(L("ToraWDetonate"), L("ToraW"))) and not ev(text.name_continues(L("MoranRun"), L("MoranR")))
     assert ev(text.plain_name(L("spell.X:Foo.1*100"))) == "Foo" and ev(text.path_name(L("a/b/c"))) == "c"
     assert ev(text.short_key(L("mNumber"), {})) == "Number" and ev(text.short_key(L("mx"), {})) == "mx" and ev(text.short_key(L("a"), {"a": "z"})) == "z"
 

@@ -132,16 +132,16 @@ def test_quota_draw():
 
 
 def test_groups(spark):
-    names = ["SionQ", "SionW", "SionWDetonate", "SionWx", "SionWBasicAttack", "Loose1", "Loose2", "Both", "ObjRoot", "ObjKid", "OdysseyW", "Alone", "Later"]
-    rows = [("f", n, n, "obj" if n.startswith("Obj") else None, n in ("SionQ", "SionW")) for n in names]
+    names = ["ToraQ", "ToraW", "ToraWDetonate", "ToraWx", "ToraWBasicAttack", "Loose1", "Loose2", "Both", "ObjRoot", "ObjKid", "OdysseyW", "Alone", "Later"]
+    rows = [("f", n, n, "obj" if n.startswith("Obj") else None, n in ("ToraQ", "ToraW")) for n in names]
     spells = spark.createDataFrame(rows, "folder string, path string, name string, object_group string, is_slot boolean")
-    objs = {"Loose1": {"a": ["sionq"]}, "Loose2": {"b": "Loose1", "mAlternateName": "SionW"}, "Both": {"x": "SionQ", "y": {"z": "SionW"}}, "OdysseyW": {"x": "SionW"}}
+    objs = {"Loose1": {"a": ["toraq"]}, "Loose2": {"b": "Loose1", "mAlternateName": "ToraW"}, "Both": {"x": "ToraQ", "y": {"z": "ToraW"}}, "OdysseyW": {"x": "ToraW"}}
     strings = graph.strings_of(spark.createDataFrame([("f", k, json.dumps(v)) for k, v in objs.items()], "folder string, path string, obj string"))
     edges = graph.links(strings, spells.select("folder", "name", "path"))
-    later = spark.createDataFrame([("f", "Later", "SionQ", "12.1"), ("f", "SionWDetonate", "SionQ", "12.1")], "folder string, name string, root string, `where` string")
+    later = spark.createDataFrame([("f", "Later", "ToraQ", "12.1"), ("f", "ToraWDetonate", "ToraQ", "12.1")], "folder string, name string, root string, `where` string")
     got = {r.path: (r.group, r.joined_by) for r in graph.assign_groups(spells, edges, later).collect()}
-    assert got["SionWDetonate"] == ("script name SionW", "script-name prefix") and got["SionWBasicAttack"][1] == "script-name prefix" and "SionWx" not in got
-    assert got["Loose1"] == got["Loose2"] == ("script name SionQ", graph.LINKED) and got["ObjKid"] == ("obj", "AbilityObject") and got["Later"] == ("script name SionQ", "AbilityObject in 12.1")
+    assert got["ToraWDetonate"] == ("script name ToraW", "script-name prefix") and got["ToraWBasicAttack"][1] == "script-name prefix" and "ToraWx" not in got
+    assert got["Loose1"] == got["Loose2"] == ("script name ToraQ", graph.LINKED) and got["ObjKid"] == ("obj", "AbilityObject") and got["Later"] == ("script name ToraQ", "AbilityObject in 12.1")
     assert not {"Both", "OdysseyW", "Alone"} & set(got)
 
 
