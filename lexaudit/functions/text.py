@@ -110,7 +110,10 @@ def typed_numbers(text: Column) -> Column:
     """Array of {text, start, end, value} of the numbers typed into a text, outside markup and tokens."""
     found = _offsets(mask(text), _UNICODE + r"(?<![\w.])\d+(?:\.\d+)?(?:\s?%|st|nd|rd|th|x)?(?![\w])")
     number = lambda t: F.regexp_extract(t, r"^\d+(?:\.\d+)?", 0).cast("double")
-    return F.transform(found, lambda m: F.struct(m["text"].alias("text"), m["start"].alias("start"), m["end"].alias("end"), number(m["text"]).alias("value")))
+    out = F.transform(found, lambda m: F.struct(m["text"].alias("text"), m["start"].alias("start"), m["end"].alias("end"), number(m["text"]).alias("value")))
+    # most texts have no digit at all, which is quickly told
+    none = F.array().cast("array<struct<text:string,start:int,end:int,value:double>>")
+    return F.when(text.isNull(), F.lit(None)).when(text.rlike(r"(?U)\d"), out).otherwise(none)
 
 
 def around(text: Column, start: Column, end: Column, width: int) -> Column:

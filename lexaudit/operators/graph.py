@@ -11,8 +11,8 @@ from lexaudit.sources.shared import written
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 100) -> DataFrame:
     """(node, component) for all ends of edges; component is the smallest node reachable.
 
-    Contraction: every node points to its smallest neighbour, pointers are followed once, edges are redrawn
-    between what their ends point to, until none is left.  Minima combine before the shuffle, so hubs are
+    Contraction: every node points to its smallest neighbour, pointers are followed three steps further, edges
+    are redrawn between what their ends point to, until none is left.  Minima combine before the shuffle, so hubs are
     cheap; every round's tables are written to the shared folder.
     """
     e = written(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL").distinct(), "edges")
@@ -20,7 +20,8 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 100
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to")), "up")
-        hop = written(up.join(up.select(F.col("node").alias("to"), F.col("to").alias("up")), "to").select("node", F.col("up").alias("to")), "hop")
+        twice = lambda d: d.join(d.select(F.col("node").alias("to"), F.col("to").alias("up")), "to").select("node", F.col("up").alias("to"))
+        hop = written(twice(twice(up)), "hop")
         if found is None:
             found = hop.withColumnRenamed("to", "component")
         else:

@@ -50,11 +50,25 @@ def by_priority(candidates: DataFrame, keys: Sequence[str], priority: Sequence[s
 
 
 def in_list(value: Column, boundaries: Sequence, successor: bool, strict: bool = False) -> Column:
-    """The nearest element of a sorted literal list at or after (successor) or at or before a value."""
-    items = F.array(*map(F.lit, boundaries))
-    if successor:
-        return F.array_min(F.filter(items, lambda b: (b > value) if strict else (b >= value)))
-    return F.array_max(F.filter(items, lambda b: (b < value) if strict else (b <= value)))
+    """The nearest of some literals at or after (successor) or at or before a value; null if there is none.
+
+    The literals become a balanced tree of comparisons, which is compiled: a row takes as many of them as a
+    binary search does.
+    """
+    items = sorted(set(boundaries))
+
+    def tree(low: int, high: int) -> Column:
+        """The answer where it is known to be items[low:high] or just beyond."""
+        if low == high:
+            at = low if successor else low - 1
+            return F.lit(items[at]) if 0 <= at < len(items) else F.lit(None)
+        mid = (low + high) // 2
+        # everything before the split is too small (successor) or not too large (predecessor)
+        here = F.lit(items[mid])
+        left = (here > value if strict else here >= value) if successor else (here >= value if strict else here > value)
+        return F.when(left, tree(low, mid)).otherwise(tree(mid + 1, high))
+
+    return F.when(value.isNotNull(), tree(0, len(items)))
 
 
 def as_of(left: DataFrame, right: DataFrame, *, by: Sequence[str], at: str, value: str, out: str, forward: bool = False) -> DataFrame:

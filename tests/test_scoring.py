@@ -191,3 +191,11 @@ def test_resumed_stream(spark, tmp_path):
     stream = resume.lines_stream(spark, str(tmp_path / "log"), "key string, pos int")
     resume.append_once(stream, str(tmp_path / "copy"), str(tmp_path / "check-copy"))
     assert {r.key: r.pos for r in resume.current(spark.read.parquet(str(tmp_path / "copy")).where("key IS NOT NULL"), "key", ["pos"]).collect()} == {"a": 2, "b": 5, "c": 6}
+
+
+def test_nearest_literals(spark):
+    df = spark.createDataFrame([(v,) for v in (None, 0, 1, 2, 3, 4, 5, 6)], "v int")
+    near = lambda **k: [r.x for r in df.select(joins.in_list(F.col("v"), [5, 1, 3], **k).alias("x")).collect()]
+    assert near(successor=True) == [None, 1, 1, 3, 3, 5, 5, None] and near(successor=False) == [None, None, 1, 1, 3, 3, 5, 5]
+    assert near(successor=True, strict=True) == [None, 1, 3, 3, 5, 5, None, None] and near(successor=False, strict=True) == [None, None, None, 1, 1, 3, 3, 5]
+    assert [r.x for r in df.select(joins.in_list(F.col("v"), [], True).alias("x")).collect()] == [None] * 8
