@@ -135,12 +135,33 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return [p for groups in open_.values() for p in groups]
 
 
+def _upto(room: int, counts: np.ndarray) -> np.ndarray:
+    """The largest size present up to x, for any x up to room; 0 for none."""
+    have = np.flatnonzero(counts[: room + 1])
+    out = np.zeros(room + 1, np.int64)
+    out[have] = have
+    return np.maximum.accumulate(out)
+
+
+def _pairs(room: int, counts: np.ndarray, above: int, width: int) -> list[tuple[int, list[int]]]:
+    """(waste, pair) of the fullest pairs of sizes that hold more than ``above``, least waste first."""
+    upto = _upto(room, counts)
+    a = np.flatnonzero(counts[: room + 1])[::-1]
+    b = upto[np.minimum(a, room - a)]
+    b = np.where((b == a) & (counts[a] < 2), upto[np.maximum(np.minimum(a, room - a) - 1, 0)], b)
+    good = np.flatnonzero((b > 0) & (a + b > above))
+    waste = room - a[good] - b[good]
+    order = np.argsort(waste, kind="stable")[:width]
+    return [(int(waste[i]), [int(a[good[i]]), int(b[good[i]])]) for i in order]
+
+
 def fillings(room: int, counts: np.ndarray, width: int = WIDTH) -> list[list[int]]:
-    """Undominated fillings of room by at most three sizes with counts, least waste first.
+    """Undominated fillings of room, least waste first and fewest sizes among equals.
 
-    A single size that fits exactly dominates all else; the largest single one dominates every smaller
-    one and every pair that fits into it; with a first size given, the largest second one dominates
-    the smaller ones; a third size counts only where it adds to a pair.
+    A single size that fits exactly dominates all else; the largest single one dominates every smaller one
+    and every pair that fits into it; with a first size given, the largest second one dominates the smaller
+    ones.  Where no such filling is exact, the largest sizes are taken one after the other and each time what
+    is left is tried with one or two sizes, until it is filled exactly or nothing fits.
     """
     have = np.flatnonzero(counts[: room + 1])
     if not len(have):
@@ -148,25 +169,18 @@ def fillings(room: int, counts: np.ndarray, width: int = WIDTH) -> list[list[int
     single = int(have[-1])
     if single == room:
         return [[single]]
-    out = [(room - single, [single])]
-    # the largest size present up to x, for any x
-    upto = np.zeros(room + 1, np.int64)
-    upto[have] = have
-    upto = np.maximum.accumulate(upto)
-    a = have[::-1]
-    b = upto[np.minimum(a, room - a)]
-    twice = (b == a) & (counts[a] < 2)
-    b = np.where(twice, upto[np.maximum(np.minimum(a, room - a) - 1, 0)], b)
-    total = a + b
-    good = np.flatnonzero((b > 0) & (total > single))
-    order = good[np.argsort(room - total[good], kind="stable")][:width]
-    out += [(int(room - total[i]), [int(a[i]), int(b[i])]) for i in order]
+    out = [(room - single, [single]), *_pairs(room, counts, single, width)]
     if min(w for w, _ in out) > 0:
-        for i in np.flatnonzero(b > 0)[: 4 * width]:
-            pair = [int(a[i]), int(b[i])]
-            c = int(upto[room - sum(pair)])
-            if c and counts[c] > pair.count(c):
-                out.append((room - sum(pair) - c, [*pair, c]))
+        rest, taken, left = counts.copy(), [], room
+        while (top := int(_upto(left, rest)[left])) > 0:
+            rest[top] -= 1
+            taken.append(top)
+            left -= top
+            one = int(_upto(left, rest)[left])
+            ends = [(left - one, [one] if one else []), *_pairs(left, rest, one, width)]
+            out += [(w, taken + end) for w, end in ends if len(taken) + len(end) > 2]
+            if min(w for w, _ in ends) == 0:
+                break
     out.sort(key=lambda x: (x[0], len(x[1])))
     return [f for _, f in out[:width]]
 
