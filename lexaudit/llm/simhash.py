@@ -17,7 +17,7 @@ distinct fingerprint on average; nothing is capped.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -115,13 +115,14 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
     """docs with one row of each near-duplicate group: that with its smallest doc_id; columns unchanged.
 
+    groups gives doc_id and component_id of every row: near_duplicates, or shingles.similar_groups.
     Of repeated rows with that doc_id one is kept.  Rows without doc_id cannot be told apart by it and
     stay.  The texts move once, by doc_id, for the semi join and the removal of repeats together.
     """
-    first = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    first = groups(docs).where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where(F.col("doc_id").isNull()))
 
