@@ -38,14 +38,15 @@ PATTERNS = {
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
     "card": r"(?<![\d.-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\d])",
     "ssn": r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])",
-    "phone": r"(?<![\d+])(?:\+(?=(?:[ .()-]{0,2}\d){8})\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
+    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "name": rf"(?<![\p{{L}}\p{{N}}-])(?:{_ANY_TITLE})\.?[  ]{_PART}(?:[ -]{_PART}){{0,2}}",
 }
 DETECT = "|".join(f"(?:{p})" for p in PATTERNS.values()).replace(r"([ -])", r"(?<sep>[ -])").replace(r"\1", r"\k<sep>")
 
+_INITIALS = "".join(sorted({t[0] for ts in TITLES.values() for t in ts}))
 #: What every match of DETECT has in it; a quick test that spares most texts the patterns above.
-HINT = rf"(?=[@0-9:=AMHSDPгΚ])(?:@|[0-9][0-9 .()-]{{6}}|[0-9]{{2}} ?[A-Z0-9]{{4}} ?[A-Z0-9]{{3}}|[:=]\s{{0,3}}[\"']?[\w/+=-]{{12}}|AKIA|(?:{_ANY_TITLE})\.?[  ]\p{{Lu}})"
+HINT = rf"(?=[@+0-9:=A{_INITIALS}])(?:@|\+[0-9]|[0-9][0-9 .()-]{{6}}|[0-9]{{2}} ?[A-Z0-9]{{4}} ?[A-Z0-9]{{3}}|[:=]\s{{0,3}}[\"']?[\w/+=-]{{12}}|AKIA|(?:{_ANY_TITLE})\.?[  ]\p{{Lu}})"
 
 #: Syllables from which names are built, by script, and the endings that mark the gender of a given name.
 SYLLABLES = {
