@@ -24,3 +24,17 @@ def test_every_form_is_found_alone(spark):
 
 def test_plain_text_is_no_hint(spark):
     assert set(entities(spark, ["nothing here, + or -", "frau and mr", "F A M"]).values()) == {(0, False)}
+
+
+def test_secrets_after_every_separator(spark):
+    v = "abcdefghijkl1234"
+    forms = [f"x {k}{q}{a}{sep}{b}{r}{v}{r} y" for k in ("token", "API_KEY") for q in ("", '"') for sep in ("=", ":") for a in ("", " ") for b in ("", " ", "   ") for r in ("", '"', "'")]
+    forms += [f"https://a.example/b?x=1&token={v}&y=2", f"password={v}", f"token=={v}", f"A=1\nAPI_KEY={v}\nB=2", f"token={v}=="]
+    assert {t: x for t, x in entities(spark, forms).items() if x != (1, True)} == {}
+    out = [r.text for r in pii.replace_pii(spark.createDataFrame([(t,) for t in forms], "text string"), key="k").collect()]
+    assert len(out) == len(forms) and not any(v in t for t in out)
+
+
+def test_rules_are_no_secrets(spark):
+    df = spark.createDataFrame([("password============== ",), ("Password:\n================",), ("token: ________________",)], "text string")
+    assert {r.n_entities for r in pii.replace_pii(df, key="k").collect()} == {0}
