@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,12 +45,15 @@ def single_group(components: DataFrame, member_groups: DataFrame) -> DataFrame:
     return components.join(member_groups, "node", "left_anti").join(reach, "component").select("node", "group")
 
 
-def reachable(edges: DataFrame, a: str, b: str, max_steps: int = 10) -> DataFrame:
-    """(source, target, steps): what is reached from each node within max_steps, by the fewest steps (semi-naive)."""
+def reachable(edges: DataFrame, a: str, b: str, max_steps: int | None = None) -> DataFrame:
+    """(source, target, steps): what is reached from each node, by the fewest steps (semi-naive); within max_steps if given.
+
+    Only pairs not seen before go on, so cycles end.
+    """
     e = written(edges.select(F.col(a).alias("source"), F.col(b).alias("target")).where("source IS NOT NULL AND target IS NOT NULL").distinct(), "edges")
     seen = e.withColumn("steps", F.lit(1))
     fresh = seen
-    for step in range(2, max_steps + 1):
+    for step in count(2) if max_steps is None else range(2, max_steps + 1):
         onward = fresh.select("source", F.col("target").alias("via")).join(e.select(F.col("source").alias("via"), "target"), "via").select("source", "target").distinct()
         fresh = written(onward.join(seen, ["source", "target"], "left_anti").withColumn("steps", F.lit(step)), "fresh")
         if fresh.isEmpty():
