@@ -1,5 +1,6 @@
 """HTML extraction, toxicity, PII and the pipeline."""
 
+import hashlib
 import itertools
 import random
 import re
@@ -160,12 +161,14 @@ def test_pii(spark):
 
 def test_surrogates_are_distinct_and_not_real(spark):
     # surnames are drawn from few syllables when there are many of them: collisions must be drawn again
-    ips = spark.range(3000).select(F.concat(F.lit("family:n"), F.col("id").cast("string")).alias("k"))
-    cards = spark.range(400).select(F.concat(F.lit("ssn:"), F.format_string("%09d", F.col("id") * 7 + 1)).alias("k"))
-    table = pii.draw_surrogates(ips.unionByName(ips).unionByName(cards), "k").collect()
-    assert len(table) == 3400 and len({(r.k.split(":")[0], r.s) for r in table}) == 3400
-    real = {r.k for r in table}
-    assert not any(f"{r.k.split(':')[0]}:{r.s}" in real for r in table)
+    ips = spark.range(3000).select(F.concat(F.lit("name:n"), F.col("id").cast("string")).alias("k"), F.lit(0).alias("mark"))
+    cards = spark.range(400).select(F.concat(F.lit("ssn:"), F.format_string("%09d", F.col("id") * 7 + 1)).alias("k"), F.lit(0).alias("mark"))
+    entities = ips.unionByName(ips).unionByName(cards)
+    keys = {hashlib.sha256(f"k\x00{r.k}".encode()).hexdigest(): r.k for r in entities.collect()}
+    table = [(keys[r.digest], r.s) for r in pii.draw_surrogates(entities, "k").collect()]
+    assert len(table) == 3400 and len({(k.split(":")[0], s) for k, s in table}) == 3400
+    real = set(keys.values())
+    assert not any(f"{k.split(':')[0]}:{s}" in real for k, s in table)
 
 
 def test_hint_misses_nothing(spark):
