@@ -1,24 +1,52 @@
-"""The folder that driver and executors share, and tables written there to cut lineage."""
+"""The folder that driver and executors share, and tables written there to cut lineage.
+
+Tables are removed when the driver's process ends; until then plans may read them.
+"""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Setting that names the shared folder.
+SETTING = "spark.checkpoint.dir"
+_own: dict[str, str] = {}
+_written: list[tuple[SparkSession, str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="lexaudit-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    """The folder in spark.checkpoint.dir; where it is unset, one of our own in local mode, and an error on a cluster."""
+    at = spark.conf.get(SETTING, None)
+    if at:
+        return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"{SETTING} must name a folder that driver and executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = "file://" + tempfile.mkdtemp(prefix="lexaudit-")
+        _written.append((spark, _own[app]))
+    return _own[app]
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table in the shared folder, read again."""
-    path = f"{shared_dir(df.sparkSession)}/lexaudit/{tag}-{uuid.uuid4().hex}"
+    """df as a table in the shared folder, read again: lineage is cut there and lost executors lose nothing."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/lexaudit/{tag}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def remove_written() -> None:
+    """Removes all tables written so far; plans that read them cannot run any more."""
+    while _written:
+        spark, path = _written.pop()
+        with contextlib.suppress(Exception):  # the JVM may have ended before; then the folder's owner removes it
+            jvm = spark._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
