@@ -2,34 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexaudit.sources.shared import written
+
+__all__ = ["free_name", "hash_sample", "restored", "set_aside", "small_batches", "table", "written"]
+
 #: Rows and bytes of one Arrow batch.  Texts may be very long, so batches are also bounded by bytes.
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 * 1024 * 1024
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="lexaudit-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table in the shared folder, read again: lineage is cut there and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexaudit/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bounds Arrow batches, so that a Python worker never holds more than a few MB of texts beside one very long one."""
     for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):

@@ -1,43 +1,17 @@
-"""Connected components by contraction, as DataFrame operations over tables in the shared folder."""
+"""Connected components of links between numbers."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexaudit.llm._util import written
+from lexaudit.operators.graph import connected_components
 
 
-def components(edges: DataFrame, *, max_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges(a, b); component is the smallest node reachable.
 
-    Each round every node points to its smallest neighbour (or itself), pointers are followed
-    once more, and the edges are redrawn between what their ends point to; loops and repeats
-    fall away, so the edges shrink by a factor every round and a handful of rounds is enough
-    whatever the diameter.  Minima are combined before the shuffle, so a node with very many
-    neighbours costs one row a task; the two lookups of pointers are joins whose skewed side
-    AQE can split.  Nothing is collected but one count a round.  Edges with a null end are
-    ignored; loops make their node its own component; an empty table gives an empty one.
+    Edges with a null end are ignored; loops make their node its own component; an empty table gives an
+    empty one.  Nothing is collected but whether edges are left after a round.
     """
-    e = written(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a IS NOT NULL AND b IS NOT NULL"), "edges")
-    spark = edges.sparkSession
-    found: DataFrame | None = None
-    for _ in range(max_rounds):
-        both = e.select(F.col("a").alias("node"), F.col("b").alias("to")).union(e.select("b", "a"))
-        up = both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("to"))
-        up = written(up, "pointers")
-        nxt = up.select(F.col("node").alias("to"), F.col("to").alias("up"))
-        jumped = written(up.join(nxt, "to").select("node", F.col("up").alias("to")), "jumped")
-        if found is None:
-            found = jumped.select("node", F.col("to").alias("component"))
-        else:
-            via = jumped.select(F.col("node").alias("component"), "to")
-            found = found.join(via, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-        found = written(found, "components")
-        a = jumped.select(F.col("node").alias("a"), F.col("to").alias("pa"))
-        b = jumped.select(F.col("node").alias("b"), F.col("to").alias("pb"))
-        redrawn = e.join(a, "a").join(b, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
-        e = written(redrawn.distinct(), "edges")
-        if e.isEmpty():
-            return found
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    return connected_components(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")), "a", "b")
