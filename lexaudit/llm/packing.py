@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,9 +30,9 @@ from pyspark.sql import functions as F
 from lexaudit.llm._util import small_batches, written
 
 CAPACITY = 2048
-#: Bounds of the search over the histogram: fillings tried at a node, and nodes in all.  They bound the
-#: driver's time, not what is packed: every piece is packed by the best solution found.
-WIDTH, NODES = 6, 8000
+#: Fillings looked at in all.  It bounds the driver's time, not what is packed: every piece is packed by the best
+#: solution found.
+NODES = 8_000
 #: Rows of one length meant for one bucket, and the least number of buckets.
 BUCKET_ROWS, LEAST_BUCKETS = 100_000, 64
 
@@ -49,27 +50,32 @@ def _byte_characters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
-def ranks_of(vocabulary: str) -> dict[bytes, int]:
-    """Ranks (which are the ids) of a byte-level BPE in the tokenizers library's JSON format.
+def ranks_of(vocabulary: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """Ranks (which are the ids) of a byte-level BPE in the tokenizers library's JSON format, and its added tokens.
 
-    Requires that ids follow the order of the merges, which makes merging by rank the same as merging
-    by the list.  Special tokens are left out: their strings are ordinary text.
+    Requires that ids follow the order of the merges, which makes merging by rank the same as merging by
+    the list.  Added tokens are found in the text before it is cut into words, as that library does; those
+    that strip white space or match whole words only are not supported.
     """
     model = json.loads(vocabulary)
-    vocab, merges, special = model["model"]["vocab"], model["model"]["merges"], {t["content"] for t in model.get("added_tokens", [])}
+    vocab, merges, added = model["model"]["vocab"], model["model"]["merges"], model.get("added_tokens", [])
+    if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("this vocabulary has added tokens of a kind that is not supported")
+    special = {t["content"]: t["id"] for t in added}
     pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
     order = [vocab[a + b] for a, b in pairs]
     if order != sorted(order):
         raise ValueError("the ids of this vocabulary do not follow its merges")
     back = _byte_characters()
-    return {bytes(back[c] for c in token): i for token, i in vocab.items() if token not in special}
+    return {bytes(back[c] for c in token): i for token, i in vocab.items() if token not in special}, special
 
 
 def encoder(vocabulary: str, pattern: str) -> tiktoken.Encoding:
     """One encoder a worker and vocabulary."""
     key = zlib.crc32(vocabulary.encode())
     if key not in _encoders:
-        _encoders[key] = tiktoken.Encoding(f"bpe-{key}", pat_str=pattern, mergeable_ranks=ranks_of(vocabulary), special_tokens={})
+        ranks, special = ranks_of(vocabulary)
+        _encoders[key] = tiktoken.Encoding(f"bpe-{key}", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
     return _encoders[key]
 
 
@@ -92,7 +98,7 @@ def pieces(docs: DataFrame, *, vocabulary: str, pattern: str, capacity: int = CA
         for b in batches:
             at, cols, ids = [], [[], [], [], []], []
             for row, text in enumerate(b.column(1).to_pylist()):
-                t = np.append(encode(text or "", disallowed_special=()), end).astype("<u4")
+                t = np.append(encode(text or "", allowed_special="all"), end).astype("<u4")
                 for k, (start, n) in enumerate(cuts(len(t), capacity)):
                     at.append(row)
                     part = t[start : start + n]
@@ -135,58 +141,110 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return [p for groups in open_.values() for p in groups]
 
 
-def _upto(room: int, counts: np.ndarray) -> np.ndarray:
-    """The largest size present up to x, for any x up to room; 0 for none."""
-    have = np.flatnonzero(counts[: room + 1])
-    out = np.zeros(room + 1, np.int64)
-    out[have] = have
-    return np.maximum.accumulate(out)
-
-
-def _pairs(room: int, counts: np.ndarray, above: int, width: int) -> list[tuple[int, list[int]]]:
-    """(waste, pair) of the fullest pairs of sizes that hold more than ``above``, least waste first."""
-    upto = _upto(room, counts)
-    a = np.flatnonzero(counts[: room + 1])[::-1]
-    b = upto[np.minimum(a, room - a)]
-    b = np.where((b == a) & (counts[a] < 2), upto[np.maximum(np.minimum(a, room - a) - 1, 0)], b)
-    good = np.flatnonzero((b > 0) & (a + b > above))
-    waste = room - a[good] - b[good]
-    order = np.argsort(waste, kind="stable")[:width]
-    return [(int(waste[i]), [int(a[good[i]]), int(b[good[i]])]) for i in order]
-
-
-def fillings(room: int, counts: np.ndarray, width: int = WIDTH) -> list[list[int]]:
-    """Undominated fillings of room, least waste first and fewest sizes among equals.
-
-    A single size that fits exactly dominates all else; the largest single one dominates every smaller one
-    and every pair that fits into it; with a first size given, the largest second one dominates the smaller
-    ones.  Where no such filling is exact, the largest sizes are taken one after the other and each time what
-    is left is tried with one or two sizes, until it is filled exactly or nothing fits.
+def _reach(sizes: list[int], room: int) -> list[int]:
+    """For every i the sums up to room (as bits) of any number of the first i sizes; a bound, as it ignores counts."""
+    full = (1 << room + 1) - 1
+    out = [1]
+    for size in sizes:
+        bits, step = out[-1], size
+        while step <= room:
+            bits |= bits << step & full
+            step *= 2
+        out.append(bits)
+    return out
+
+
+def _exact(total: int, sizes: list[int], counts: list[int], reach: list[int], upto: int) -> Iterator[list[int]]:
+    """All multisets of the first ``upto`` sizes (ascending) with this sum, none of them more often than it is there; large ones first."""
+    if not total:
+        yield []
+        return
+    # the largest member: one of the sizes up to total, if the rest can be reached with sizes up to it
+    top = bisect_right(sizes, total, 0, upto)
+    for i in range(top - 1, -1, -1):
+        if not reach[i + 1] >> total & 1:
+            return
+        if reach[i + 1] >> total - sizes[i] & 1 and counts[i]:
+            counts[i] -= 1
+            for rest in _exact(total - sizes[i], sizes, counts, reach, i + 1):
+                yield [sizes[i], *rest]
+            counts[i] += 1
+
+
+def dominated(filling: list[int], room: int, left: np.ndarray) -> bool:
+    """Whether another filling is at least as good whatever comes after.
+
+    That is so if some of its sizes (or none) can be exchanged for one larger or equal size that is still
+    there and fits: what was taken out fits wherever that size would have gone.  A size is not exchanged for
+    itself.
+    """
+    waste = room - sum(filling)
+    free = left.copy()
+    for k in filling:
+        free[k] -= 1
+    have = np.flatnonzero(free[: room + 1] > 0)
+    sums = {0: 0}  # sum of some sizes -> how many they are, at most
+    for k in filling:
+        for s, n in list(sums.items()):
+            sums[s + k] = max(sums.get(s + k, 0), n + 1)
+    for s, n in sums.items():
+        # strictly larger, or equal to the sum of several
+        at = np.searchsorted(have, s if n > 1 else s + 1)
+        if at < len(have) and have[at] <= s + waste:
+            return True
+    return False
+
+
+@dataclass
+class Effort:
+    """How many fillings may still be looked at."""
+
+    left: int
+
+    def spend(self) -> bool:
+        self.left -= 1
+        return self.left >= 0
+
+
+def fillings(room: int, left: np.ndarray, effort: Effort | None = None) -> Iterator[list[int]]:
+    """All undominated fillings of room by the sizes in left (counts by size), least waste first; exact pairs first, else largest sizes first.
+
+    They are made as they are asked for, and end where the effort is spent; left is copied.
+    """
+    effort = effort or Effort(1 << 62)
+    left = left.copy()
+    if left[room]:  # one size that fits exactly dominates all else
+        yield [room]
+        return
+    sizes = np.flatnonzero(left[: room + 1]).tolist()
+    if not sizes:
+        yield []
+        return
+    # exact pairs, which need no more than a look at the counts
+    one = np.array(sizes)[::-1]
+    one = one[one * 2 >= room]
+    for a in one[left[room - one] > (one * 2 == room)].tolist():
+        if not effort.spend():
+            return
+        if not dominated([a, room - a], room, left):
+            yield [a, room - a]
+    counts, reach = left[sizes].tolist(), _reach(sizes, room)
+    # less than the largest single size cannot be undominated
+    for total in range(room, sizes[-1] - 1, -1):
+        if reach[-1] >> total & 1:
+            for filling in _exact(total, sizes, counts, reach, len(sizes)):
+                if not effort.spend():
+                    return
+                if (total < room or len(filling) != 2) and not dominated(filling, room, left):
+                    yield filling
+
+
+def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[Pattern]:
+    """Patterns that hold every piece of the histogram, in as few bins as the search finds.
+
+    Depth first: around the largest size left, each undominated filling in turn, as often as the counts allow;
+    a branch ends where its waste leaves no room for a better packing than the incumbent.
     """
-    have = np.flatnonzero(counts[: room + 1])
-    if not len(have):
-        return [[]]
-    single = int(have[-1])
-    if single == room:
-        return [[single]]
-    out = [(room - single, [single]), *_pairs(room, counts, single, width)]
-    if min(w for w, _ in out) > 0:
-        rest, taken, left = counts.copy(), [], room
-        while (top := int(_upto(left, rest)[left])) > 0:
-            rest[top] -= 1
-            taken.append(top)
-            left -= top
-            one = int(_upto(left, rest)[left])
-            ends = [(left - one, [one] if one else []), *_pairs(left, rest, one, width)]
-            out += [(w, taken + end) for w, end in ends if len(taken) + len(end) > 2]
-            if min(w for w, _ in ends) == 0:
-                break
-    out.sort(key=lambda x: (x[0], len(x[1])))
-    return [f for _, f in out[:width]]
-
-
-def complete(counts: dict[int, int], capacity: int = CAPACITY, width: int = WIDTH, nodes: int = NODES) -> list[Pattern]:
-    """Patterns that hold every piece of the histogram, in as few bins as the search finds."""
     incumbent = best_fit(counts, capacity)
     bins = lambda ps: sum(n for _, n in ps)
     total = sum(k * n for k, n in counts.items())
@@ -197,17 +255,17 @@ def complete(counts: dict[int, int], capacity: int = CAPACITY, width: int = WIDT
     # depth first; a frame holds its untried fillings, what was applied and the waste before it
     path: list[Pattern] = []
     frames: list[list] = []
-    waste, seen = 0, 0
+    waste, effort = 0, Effort(nodes)
 
     def open_frame() -> None:
         top = int(np.flatnonzero(left)[-1])
         left[top] -= 1
-        frames.append([top, iter(fillings(capacity - top, left, width)), None, waste])
+        frames.append([top, fillings(capacity - top, left, effort), None, waste])
         left[top] += 1
 
     if total:
         open_frame()
-    while frames and best > least and seen < nodes:
+    while frames and best > least and effort.left >= 0:
         frame = frames[-1]
         if frame[2] is not None:  # take back what was applied
             pattern, n = path.pop()
@@ -218,27 +276,12 @@ def complete(counts: dict[int, int], capacity: int = CAPACITY, width: int = WIDT
         if filling is None:
             frames.pop()
             continue
-        seen += 1
+        effort.spend()
         pattern: dict[int, int] = {}
         for k in (frame[0], *filling):
             pattern[k] = pattern.get(k, 0) + 1
         n = min(int(left[k]) // c for k, c in pattern.items())
-        # small sizes may fill what is still open
         room = capacity - sum(k * c for k, c in pattern.items())
-        if room and filling:
-            rest = left.copy()
-            for k, c in pattern.items():
-                rest[k] -= c * n
-            while (small := np.flatnonzero(rest[: room + 1])).size:
-                k = int(small[-1])
-                if rest[k] < n:
-                    n = max(1, min(n, int(rest[k])))
-                pattern[k] = pattern.get(k, 0) + 1
-                room -= k
-                n = min(int(left[k2]) // c for k2, c in pattern.items())
-                rest = left.copy()
-                for k2, c in pattern.items():
-                    rest[k2] -= c * n
         for k, c in pattern.items():
             left[k] -= c * n
         path.append((pattern, n))
@@ -340,5 +383,6 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents, packed; nulls, empties, long texts, repeats and empty tables as pack_documents has them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return pack_documents(docs, vocabulary_path=public_tokenizers.path("byte_bpe_50k.json"))

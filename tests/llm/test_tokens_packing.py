@@ -17,7 +17,7 @@ from lexaudit.llm.packing import Places, best_fit, complete, cuts, fillings, pac
 from tests.conftest import SF
 
 RANKS, JSON = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
-EDGES = [None, "", " ", "\n\n  x", "don't we're I'll", "é🙂漢字 mixed space", "<|endoftext|> is text", "a" * 3000, "word " * 4000, "1234567 12,5", "\x00\x01"]
+EDGES = [None, "", " ", "\n\n  x", "don't we're I'll", "é🙂漢字 mixed space", "<|endoftext|> is text", "a <|endoftext|> b<|endoftext|><|endoftext", "x<|endoftext|>", "a" * 3000, "word " * 4000, "1234567 12,5", "\x00\x01"]
 
 
 def test_gather():
@@ -110,9 +110,52 @@ def test_completion_beats_best_fit():
 def test_fillings_are_undominated():
     counts = np.zeros(101, int)
     counts[[10, 30, 35, 40]] = 1
-    assert fillings(40, counts) == [[40]]
-    for f in fillings(45, counts):
-        assert sum(f) <= 45 and sum(f) >= 40
+    assert list(fillings(40, counts)) == [[40]] and list(fillings(5, counts)) == [[]]
+    assert list(fillings(45, counts)) == [[35, 10], [40]] and list(fillings(69, counts)) == [[35, 30], [40, 10]]
+
+
+def all_fillings(room, sizes):
+    """Every set that fits, by brute force."""
+    out = {()}
+    for s in sorted(sizes, reverse=True):
+        out |= {(*f, s) for f in out if sum(f) + s <= room}
+    return out
+
+
+def covers(better, worse):
+    """Whether the sizes of worse can be put into those of better, whole by whole (Martello and Toth)."""
+
+    def fit(rest, rooms):
+        if not rest:
+            return True
+        return any(fit(rest[1:], [*rooms[:i], r - rest[0], *rooms[i + 1 :]]) for i, r in enumerate(rooms) if r >= rest[0])
+
+    return fit(list(worse), list(better))
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_fillings_are_all_that_matter(seed):
+    rnd = random.Random(seed)
+    sizes = [rnd.randint(3, 40) for _ in range(9)]
+    room = rnd.randint(30, 70)
+    counts = np.bincount(sizes, minlength=101)
+    found = [tuple(f) for f in fillings(room, counts)]
+    assert len(found) == len(set(found)) and [sum(f) for f in found] == sorted((sum(f) for f in found), reverse=True)
+    every = all_fillings(room, sizes)
+    assert set(found) <= every
+    # whatever is left out is covered by one that is not
+    assert all(any(covers(f, e) for f in found) for e in every)
+
+
+def test_effort_bounds_the_search():
+    rnd = random.Random(1)
+    counts = {2 * rnd.randint(1, 1000) + 1 if i % 2 else 2 * rnd.randint(1, 1000): rnd.randint(1, 9) for i in range(900)}
+    got = complete(counts, 2048, nodes=50)
+    used = {}
+    for pattern, n in got:
+        for k, c in pattern.items():
+            used[k] = used.get(k, 0) + c * n
+    assert used == counts
 
 
 def test_pack_documents(spark):
@@ -122,7 +165,6 @@ def test_pack_documents(spark):
     packed = pack_documents(both, vocabulary_path=JSON, with_ids=True)
     rows = packed.collect()
     tok = Tokenizer.from_file(JSON)
-    tok.encode_special_tokens = True
     texts = {}
     for i, t in both.select("doc_id", "text").collect():
         texts.setdefault(i, []).append(t)
