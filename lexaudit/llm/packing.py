@@ -16,8 +16,8 @@ from __future__ import annotations
 
 import json
 import zlib
-from bisect import bisect_right
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from lexaudit.llm._util import small_batches, written
 
 CAPACITY = 2048
-#: Fillings looked at in all.  It bounds the driver's time, not what is packed: every piece is packed by the best
-#: solution found.
-NODES = 8_000
+#: Steps of the search in all, and what a filling looked at costs in steps.  It bounds the driver's time, not
+#: what is packed: every piece is packed by the best solution found.
+NODES, COST = 2_000_000, 20
 #: Rows of one length meant for one bucket, and the least number of buckets.
 BUCKET_ROWS, LEAST_BUCKETS = 100_000, 64
 
@@ -154,65 +154,66 @@ def _reach(sizes: list[int], room: int) -> list[int]:
     return out
 
 
-def _exact(total: int, sizes: list[int], counts: list[int], reach: list[int], upto: int) -> Iterator[list[int]]:
-    """All multisets of the first ``upto`` sizes (ascending) with this sum, none of them more often than it is there; large ones first."""
-    if not total:
-        yield []
-        return
-    # the largest member: one of the sizes up to total, if the rest can be reached with sizes up to it
-    top = bisect_right(sizes, total, 0, upto)
-    for i in range(top - 1, -1, -1):
-        if not reach[i + 1] >> total & 1:
+@dataclass
+class Effort:
+    """How many steps the search may still take."""
+
+    left: int
+
+    def spend(self, steps: int = 1) -> bool:
+        self.left -= steps
+        return self.left >= 0
+
+
+def _exact(total: int, n: int, sizes: list[int], counts: list[int], reach: list[int], upto: int, effort: Effort, there: Callable[[int], bool], sums: frozenset[int]) -> Iterator[list[int]]:
+    """All multisets of n of the first ``upto`` sizes (ascending) with this sum, none of them more often than it is there; the most even first.
+
+    Left out are those in which some members add up to a size that is still there, as that one dominates them
+    (it is larger than any member to come, so it stays there); sums are what the members chosen so far add up to.
+    """
+    # the largest member is no less than the mean, and leaves room for the others
+    for i in range(bisect_left(sizes, -(-total // n), 0, upto), bisect_right(sizes, total - (n - 1) * sizes[0], 0, upto)):
+        if not effort.spend():
             return
-        if reach[i + 1] >> total - sizes[i] & 1 and counts[i]:
+        size = sizes[i]
+        if not counts[i] or any(there(s + size) for s in sums):
+            continue
+        if n == 1:
+            yield [size]
+        elif reach[i + 1] >> total - size & 1:
             counts[i] -= 1
-            for rest in _exact(total - sizes[i], sizes, counts, reach, i + 1):
-                yield [sizes[i], *rest]
+            for rest in _exact(total - size, n - 1, sizes, counts, reach, i + 1, effort, there, sums | {size} | {s + size for s in sums}):
+                yield [size, *rest]
             counts[i] += 1
 
 
-def dominated(filling: list[int], room: int, left: np.ndarray) -> bool:
+def dominated(filling: list[int], room: int, counts: list[int], upto: list[int]) -> bool:
     """Whether another filling is at least as good whatever comes after.
 
     That is so if some of its sizes (or none) can be exchanged for one larger or equal size that is still
     there and fits: what was taken out fits wherever that size would have gone.  A size is not exchanged for
-    itself.
+    itself.  counts is by size, upto the largest size there up to any sum (0 for none).
     """
     waste = room - sum(filling)
-    free = left.copy()
-    for k in filling:
-        free[k] -= 1
-    have = np.flatnonzero(free[: room + 1] > 0)
     sums = {0: 0}  # sum of some sizes -> how many they are, at most
     for k in filling:
         for s, n in list(sums.items()):
             sums[s + k] = max(sums.get(s + k, 0), n + 1)
     for s, n in sums.items():
-        # strictly larger, or equal to the sum of several
-        at = np.searchsorted(have, s if n > 1 else s + 1)
-        if at < len(have) and have[at] <= s + waste:
-            return True
+        y = upto[s + waste]
+        while y > s or y == s and n > 1:
+            if counts[y] > filling.count(y):
+                return True
+            y = upto[y - 1]
     return False
 
 
-@dataclass
-class Effort:
-    """How many fillings may still be looked at."""
-
-    left: int
-
-    def spend(self) -> bool:
-        self.left -= 1
-        return self.left >= 0
-
-
 def fillings(room: int, left: np.ndarray, effort: Effort | None = None) -> Iterator[list[int]]:
-    """All undominated fillings of room by the sizes in left (counts by size), least waste first; exact pairs first, else largest sizes first.
+    """All undominated fillings of room by the sizes in left (counts by size): least waste, then fewest sizes, then most even first.
 
-    They are made as they are asked for, and end where the effort is spent; left is copied.
+    They are made as they are asked for, and end where the effort is spent; left must stay as it is meanwhile.
     """
     effort = effort or Effort(1 << 62)
-    left = left.copy()
     if left[room]:  # one size that fits exactly dominates all else
         yield [room]
         return
@@ -220,23 +221,28 @@ def fillings(room: int, left: np.ndarray, effort: Effort | None = None) -> Itera
     if not sizes:
         yield []
         return
-    # exact pairs, which need no more than a look at the counts
-    one = np.array(sizes)[::-1]
-    one = one[one * 2 >= room]
-    for a in one[left[room - one] > (one * 2 == room)].tolist():
-        if not effort.spend():
-            return
-        if not dominated([a, room - a], room, left):
-            yield [a, room - a]
-    counts, reach = left[sizes].tolist(), _reach(sizes, room)
+    counts, reach, here = left[sizes].tolist(), None, left[: room + 1].tolist()
+    place = {k: i for i, k in enumerate(sizes)}
+    below = np.maximum.accumulate(np.where(left[: room + 1] > 0, np.arange(room + 1), 0)).tolist()
     # less than the largest single size cannot be undominated
     for total in range(room, sizes[-1] - 1, -1):
-        if reach[-1] >> total & 1:
-            for filling in _exact(total, sizes, counts, reach, len(sizes)):
-                if not effort.spend():
+        for n in range(1, total // sizes[0] + 1):
+            if n == 2:  # by a look at all counts at once
+                one = np.array(sizes)
+                one = one[(one * 2 >= total) & (one <= total)]
+                found = ([a, total - a] for a in one[left[total - one] > (one * 2 == total)].tolist())
+            else:
+                reach = reach or _reach(sizes, room)
+                if not reach[-1] >> total & 1:
+                    break
+                found = _exact(total, n, sizes, counts, reach, len(sizes), effort, lambda s: s in place and counts[place[s]] > 0, frozenset())
+            for filling in found:
+                if not effort.spend(COST):
                     return
-                if (total < room or len(filling) != 2) and not dominated(filling, room, left):
+                if not dominated(filling, room, here, below):
                     yield filling
+            if effort.left < 0:
+                return
 
 
 def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[Pattern]:
@@ -260,7 +266,7 @@ def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODE
     def open_frame() -> None:
         top = int(np.flatnonzero(left)[-1])
         left[top] -= 1
-        frames.append([top, fillings(capacity - top, left, effort), None, waste])
+        frames.append([top, fillings(capacity - top, left.copy(), effort), None, waste])
         left[top] += 1
 
     if total:
@@ -276,7 +282,7 @@ def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODE
         if filling is None:
             frames.pop()
             continue
-        effort.spend()
+        effort.spend(COST)
         pattern: dict[int, int] = {}
         for k in (frame[0], *filling):
             pattern[k] = pattern.get(k, 0) + 1
@@ -293,6 +299,11 @@ def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODE
             if bins(path) < best:
                 incumbent, best = list(path), bins(path)
             continue
+        # best-fit of what is left may better the incumbent
+        if np.count_nonzero(left) <= 32:
+            rest = best_fit({int(k): int(left[k]) for k in np.flatnonzero(left)}, capacity)
+            if bins(path) + bins(rest) < best:
+                incumbent, best = path + rest, bins(path) + bins(rest)
         open_frame()
     return incumbent
 
