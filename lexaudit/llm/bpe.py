@@ -9,7 +9,7 @@
 
 A word appears once a block however often it occurs, so a very common word weighs no more than others.
 Words, ids and word numbers are packed by zstd, so what moves is less than the stored text; texts do not
-move.  There are twice as many buckets as shuffle partitions, and a block has one row in each.
+move.  There is a bucket for every BUCKET_BYTES of text (summed up first), and a task for each, so that tasks stay as large when the input grows; a block has at most one row in each.
 Blocks are bounded by ``block_bytes`` of text beside one very long document.  A block's name is made of its
 place in the scan, so the documents must come from a scan that reads the same rows in the same order
 each time; a check sum of its words ties the two readings together and fails the job where they differ.
@@ -32,15 +32,17 @@ import tiktoken
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lexaudit.llm._util import small_batches
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 16 * 1024 * 1024
+#: Bytes of text for each bucket and each task that puts documents together; buckets at least.
+BUCKET_BYTES, LEAST_BUCKETS = 64 * 1024 * 1024, 32
 #: Words that are put together at once.
 STEP = 400_000
-#: Words whose ids a worker remembers within a bucket.
-WORDS_REMEMBERED = 500_000
 
 #: The public pattern in terms of the standard library, whose matcher is faster.  Its classes of letters,
 #: numbers and white space are the same but for some characters of SLOW; texts with any of those take the
@@ -185,11 +187,10 @@ def distinct_words(docs: DataFrame, pattern: str, block_bytes: int, buckets: int
     return docs.mapInArrow(run, "bucket int, block long, check long, words binary")
 
 
-def encoded_words(words: DataFrame, data, pattern: str) -> DataFrame:
+def encoded_words(words: DataFrame, data, pattern: str, buckets: int) -> DataFrame:
     """(bucket, block, check, ids): each distinct word of a bucket is encoded once, for all blocks that hold it.
 
-    The rows of a bucket stand together.  Ids known so far are remembered up to WORDS_REMEMBERED words;
-    a bucket with more of them costs time, not memory or correctness.
+    The rows of a bucket stand together in one task, whose memory is that of the bucket's distinct words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +200,7 @@ def encoded_words(words: DataFrame, data, pattern: str) -> DataFrame:
         for b in batches:
             out = []
             for bucket, packed in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if bucket != last or len(known) > WORDS_REMEMBERED:
+                if bucket != last:
                     known, last = {}, bucket
                 lengths, raw = _spread(packed)
                 ids, at = [], 0
@@ -214,7 +215,7 @@ def encoded_words(words: DataFrame, data, pattern: str) -> DataFrame:
                 out.append(_squeezed(counts, _squeezed(np.frombuffer(b"".join(ids), "<u4"))))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.binary())], ["bucket", "block", "check", "ids"])
 
-    return words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket int, block long, check long, ids binary")
+    return words.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket int, block long, check long, ids binary")
 
 
 def numbered_documents(docs: DataFrame, pattern: str, block_bytes: int, buckets: int) -> DataFrame:
@@ -223,7 +224,7 @@ def numbered_documents(docs: DataFrame, pattern: str, block_bytes: int, buckets:
     places has the number of each word in the order in which ids come back.
     """
     name = docs.schema["doc_id"].dataType.simpleString()
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[name]
+    kind = to_arrow_type(docs.schema["doc_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, words, ids, arrays in _blocks(batches, pattern, block_bytes, True):
@@ -242,20 +243,28 @@ def numbered_documents(docs: DataFrame, pattern: str, block_bytes: int, buckets:
     return docs.mapInArrow(run, f"block long, check long, lengths array<long>, numbers binary, places binary, doc_ids array<{name}>")
 
 
+def buckets_for(docs: DataFrame) -> int:
+    """One for every BUCKET_BYTES of text, LEAST_BUCKETS at least."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
+
+
 def encode_decode(docs: DataFrame, *, ranks_path: str, pattern: str = public_tokenizers.PATTERN, block_bytes: int = BLOCK_BYTES, word_buckets: int | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, decoded) of every whole text.
 
     A null text counts as empty: no tokens, the sums of nothing.  Repeated rows and null ids get a row
-    each; columns other than doc_id and text are not carried; an empty table gives an empty one.
+    each; columns other than doc_id and text are not carried; an empty table gives an empty one.  doc_id may
+    have any type that can be grouped in Arrow batches.
     """
     spark = docs.sparkSession
     small_batches(spark)
     with open(ranks_path, "rb") as f:
         data = spark.sparkContext.broadcast(f.read())
     src = docs.selectExpr("doc_id", "CAST(text AS string) AS text")
-    buckets = word_buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    words = encoded_words(distinct_words(src, pattern, block_bytes, buckets), data, pattern)
-    blocks = numbered_documents(src, pattern, block_bytes, buckets)
+    buckets = word_buckets or buckets_for(src)
+    # as many tasks put documents together: both sides of the cogroup are spread alike
+    words = encoded_words(distinct_words(src, pattern, block_bytes, buckets), data, pattern, buckets).repartition(buckets, "block")
+    blocks = numbered_documents(src, pattern, block_bytes, buckets).repartition(buckets, "block")
     name = src.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * with_ids]
 
@@ -305,5 +314,6 @@ def encode_decode(docs: DataFrame, *, ranks_path: str, pattern: str = public_tok
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents, encoded and decoded; nulls, empties, long texts, repeats and empty tables as encode_decode has them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return encode_decode(docs, ranks_path=public_tokenizers.path("byte_bpe_50k.tiktoken"))

@@ -12,7 +12,8 @@ import regex
 import tiktoken
 from tokenizers import Tokenizer
 
-from lexaudit.llm.bpe import SLOW, _spread, decode, distinct_words, encode_decode, encoded_words, gather, load_ranks, numbered_documents, pre_tokens
+from lexaudit.llm import bpe
+from lexaudit.llm.bpe import SLOW, _spread, buckets_for, decode, distinct_words, encode_decode, encoded_words, gather, load_ranks, numbered_documents, pre_tokens
 from lexaudit.llm.packing import Places, best_fit, complete, cuts, fillings, pack, pack_documents, sequences
 from tests.conftest import SF
 
@@ -54,12 +55,30 @@ def test_bpe(spark):
     assert encode_decode(docs.limit(0), ranks_path=RANKS).count() == 0
 
 
+def test_bpe_takes_any_id(spark):
+    from datetime import date
+    from decimal import Decimal
+
+    for kind, ids in (("decimal(10,2)", [Decimal("1.50"), None]), ("date", [date(2020, 1, 2), None]), ("binary", [b"a", None]), ("struct<a:int,b:string>", [(1, "x"), None]), ("short", [3, None])):
+        docs = spark.createDataFrame([(i, "some words") for i in ids], f"doc_id {kind}, text string")
+        got = encode_decode(docs, ranks_path=RANKS)
+        assert got.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+        assert sorted((str(r.doc_id), r.n_tokens) for r in got.collect()) == sorted((str(r.doc_id), 2) for r in docs.collect()), kind
+
+
+def test_buckets_grow_with_the_input(spark, monkeypatch):
+    docs = spark.range(100).selectExpr("id AS doc_id", "repeat('é', 1000) AS text")
+    assert buckets_for(docs) == buckets_for(docs.limit(0)) == bpe.LEAST_BUCKETS
+    monkeypatch.setattr(bpe, "BUCKET_BYTES", 1000)
+    assert buckets_for(docs) == 200
+
+
 def test_bpe_ties_its_two_readings(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string").coalesce(1)
     words = distinct_words(docs, public_tokenizers.PATTERN, 10, 1).collect()
     assert [_spread(r.words)[1] for r in words] == [b" bac"]
     data = spark.sparkContext.broadcast(open(RANKS, "rb").read())
-    back = encoded_words(distinct_words(docs, public_tokenizers.PATTERN, 10, 1), data, public_tokenizers.PATTERN).collect()
+    back = encoded_words(distinct_words(docs, public_tokenizers.PATTERN, 10, 1), data, public_tokenizers.PATTERN, 1).collect()
     assert len(back) == 1 and _spread(back[0].ids)[0].tolist() == [1, 1, 1]
     assert numbered_documents(docs, public_tokenizers.PATTERN, 10, 1).count() == 1
 
