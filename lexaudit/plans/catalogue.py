@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lexaudit.plans import audit, relational, scoring
+from lexaudit.plans import audit, expressions, relational, scoring
 from lexaudit.streaming import resume
 
-QUERIES = {**audit.QUERIES, **relational.Q, **scoring.QUERIES, **resume.QUERIES}
-ORACLE_SQL = {**audit.SQL, **relational.SQL, **scoring.SQL, **resume.SQL}
+QUERIES = {**audit.QUERIES, **relational.Q, **scoring.QUERIES, **expressions.QUERIES, **resume.QUERIES}
+ORACLE_SQL = {**audit.SQL, **relational.SQL, **scoring.SQL, **expressions.SQL, **resume.SQL}
