@@ -40,7 +40,7 @@ from lexaudit.llm._util import small_batches
 #: Bytes of text in a block.
 BLOCK_BYTES = 16 * 1024 * 1024
 #: Bytes of text for each bucket and each task that puts documents together; buckets at least.
-BUCKET_BYTES, LEAST_BUCKETS = 64 * 1024 * 1024, 32
+BUCKET_BYTES, LEAST_BUCKETS = 16 * 1024 * 1024, 8
 #: Words that are put together at once.
 STEP = 400_000
 
