@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lexaudit.plans import audit, checking, expressions, relational, scoring
+from lexaudit.plans import audit, checking, expressions, pieces, relational, scoring
 from lexaudit.streaming import resume
 
-QUERIES = {**audit.QUERIES, **relational.Q, **scoring.QUERIES, **expressions.QUERIES, **checking.QUERIES, **resume.QUERIES}
-ORACLE_SQL = {**audit.SQL, **relational.SQL, **scoring.SQL, **expressions.SQL, **checking.SQL, **resume.SQL}
+QUERIES = {**audit.QUERIES, **relational.Q, **scoring.QUERIES, **expressions.QUERIES, **checking.QUERIES, **pieces.QUERIES, **resume.QUERIES}
+ORACLE_SQL = {**audit.SQL, **relational.SQL, **scoring.SQL, **expressions.SQL, **checking.SQL, **pieces.SQL, **resume.SQL}

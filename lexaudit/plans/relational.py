@@ -307,14 +307,6 @@ def flag_merge(spark, d):
     return aggregates.merged_flags(flags, ["o_orderkey"], ["late", "large", "urgent"])
 
 
-@query("""SELECT l_orderkey, term, round(sum(coef), 6) AS coef FROM (SELECT l_orderkey, l_returnflag AS term, l_discount * 0.5 AS coef FROM lineitem UNION ALL SELECT l_orderkey, l_linestatus, l_tax * 2 FROM lineitem) GROUP BY 1, 2""")
-def linear_form_sum(spark, d):
-    li = t(spark, d, "lineitem")
-    a = li.select("l_orderkey", F.col("l_returnflag").alias("term"), (F.col("l_discount") * 0.5).alias("coef"))
-    b = li.select("l_orderkey", F.col("l_linestatus").alias("term"), (F.col("l_tax") * 2).alias("coef"))
-    return a.unionByName(b).groupBy("l_orderkey", "term").agg(F.round(F.sum("coef"), 6).alias("coef"))
-
-
 # -- sets -----------------------------------------------------------------------------------------
 
 
@@ -394,7 +386,7 @@ def sha256_key(spark, d):
     return t(spark, d, "nation").select("n_nationkey", hashing.sha_key(F.col("n_name"), F.col("n_regionkey")).alias("key"))
 
 
-@query()
+@query("""SELECT n_nationkey, printf('{%08x}', list_reduce(list_prepend(2166136261::BIGINT, list_transform(range(1, length(n_name) + 1), lambda i: ascii(lower(n_name)[i])::BIGINT)), lambda h, b: xor(h, b) * 16777619 % 4294967296)) AS hash FROM nation""")
 def fnv1a_names(spark, d):
     return t(spark, d, "nation").select("n_nationkey", hashing.fnv1a(F.col("n_name")).alias("hash"))
 
