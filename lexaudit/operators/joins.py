@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -74,15 +74,17 @@ def in_list(value: Column, boundaries: Sequence, successor: bool, strict: bool =
 def as_of(left: DataFrame, right: DataFrame, *, by: Sequence[str], at: str, value: str, out: str, forward: bool = False) -> DataFrame:
     """left with the value of right's nearest row at or before (forward: at or after) ``at`` under the same ``by``.
 
-    Both sides are laid out once by ``by`` and carried along in time order: one shuffle, no range join.  At
-    equal times right's rows count as before left's; of right's rows at one time the largest value wins.
+    Both sides are laid out once by ``by`` and time, in ranges, and carried along: no range join, and a hot key
+    is many tasks.  At equal times right's rows count as before left's; of right's rows at one time the largest
+    value wins.
     """
+    from lexaudit.operators.windows import carry_down
+
     l = left.select(*by, F.col(at).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[value].dataType).alias("_v"), F.struct(*left.columns).alias("_row"))
     r = right.groupBy(*by, at).agg(F.max(value).alias("_v")).select(*by, F.col(at).alias("_at"), F.lit(0).alias("_side"), "_v", F.lit(None).cast(l.schema["_row"].dataType).alias("_row"))
     order = [F.col("_at").desc() if forward else F.col("_at").asc(), F.col("_side").asc()]
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = l.unionByName(r).withColumn("_found", F.last("_v", ignorenulls=True).over(w)).where(F.col("_row").isNotNull())
-    return both.select("_row.*", F.col("_found").alias(out))
+    both = carry_down(l.unionByName(r), "_v", by, order).where(F.col("_row").isNotNull())
+    return both.select("_row.*", F.col("_v").alias(out))
 
 
 def within(left: DataFrame, right: DataFrame, a: str, b: str, tolerance: float) -> DataFrame:

@@ -41,10 +41,26 @@ def version_key(version: Column) -> Column:
     return F.when(version.rlike(pattern), F.struct(part(1).cast("int").alias("major"), part(2).cast("int").alias("minor"), F.lower(part(3)).alias("letter")))
 
 
-def carry_down(df: DataFrame, column: str, partition: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """column with nulls replaced by the last value before them in their partition."""
-    w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn(column, F.last(column, ignorenulls=True).over(w))
+def carry_down(df: DataFrame, column: str, partition: Sequence[str], order: Sequence[str | Column], partitions: int | None = None) -> DataFrame:
+    """column with nulls replaced by the last value before them in their partition (a null key is a key too).
+
+    Rows are cut into ranges of partition and order, so that a hot key spreads over many tasks; within a range
+    a window carries values down, and what a key brings from its earlier ranges is joined in.  A boundary of
+    ranges lies within one key at most, so there are no more such rows than ranges, and they are broadcast.
+    """
+    from lexaudit.sources.shared import written
+
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = written(df.repartitionByRange(n, *partition, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    own = Window.partitionBy(*partition, "_range").orderBy(*order)
+    done = placed.withColumn("_place", F.row_number().over(own)).withColumn(column, F.last(column, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    # the last row of each key's range; only keys of several ranges go on
+    ends = done.groupBy(*partition, "_range").agg(F.max_by(column, "_place").alias("_brought"))
+    earlier = Window.partitionBy(*partition).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    brought = ends.withColumn("_brought", F.last("_brought", ignorenulls=True).over(earlier)).where("_brought IS NOT NULL")
+    brought = brought.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(partition)), F.col("_range").alias("_r"), "_brought")
+    on = [F.col("_range") == F.col("_r"), *(F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(partition))]
+    return done.join(F.broadcast(brought), on, "left").withColumn(column, F.coalesce(column, "_brought")).select(*df.columns)
 
 
 def numbered(df: DataFrame, order: Sequence[Column], name: str = "number", partitions: int | None = None) -> DataFrame:
