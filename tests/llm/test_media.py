@@ -9,7 +9,7 @@ import pytest
 
 from lexaudit.llm import jpeg
 from lexaudit.llm.jpeg import Huffman, JpegError, decode_coefficients, encode_payload, payload_of, to_rgb
-from lexaudit.llm.media import padded, store_media
+from lexaudit.llm.media import op7_media, padded, store_media
 from tests.conftest import SF
 
 
@@ -20,6 +20,9 @@ def test_round_trip(blocks):
     assert payload_of(image) == payload
     rgb = to_rgb(image)
     assert rgb.shape == (image.height, image.width, 3) and rgb.dtype == np.uint8
+    # the chroma planes hold data of their own, and are upsampled
+    assert blocks < 3 or all(len(np.unique(c.coefs)) > 20 for c in image.components[1:])
+    assert blocks < 64 or (rgb[:, :, 0] != rgb[:, :, 2]).mean() > 0.3
 
 
 def test_fast_and_general_readers_agree(monkeypatch):
@@ -208,6 +211,14 @@ def test_errors():
             encode_payload(bad)
 
 
+def test_query_digests_the_tensors(spark):
+    got = {r.doc_id: r for r in op7_media(spark, SF).collect()}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect()[::7]:
+        image = decode_coefficients(encode_payload(padded(r.text)[1]))
+        rgb = to_rgb(image)
+        assert got[r.doc_id].rgb_sha256 == hashlib.sha256(rgb.tobytes()).hexdigest() and (got[r.doc_id].height, got[r.doc_id].width) == rgb.shape[:2]
+
+
 def test_query(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     extra = spark.createDataFrame([(None, None), (-1, ""), (-2, "é" * 100_000), (-3, "same"), (-4, "same"), (-4, "same")], "doc_id long, text string")
