@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import struct
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 
@@ -60,11 +61,18 @@ class Huffman:
 
     def wide(self) -> tuple[np.ndarray, np.ndarray]:
         """(symbol, code length) by the next 16 bits; length 0 where no code fits."""
-        symbol, length = np.zeros(65536, np.int64), np.zeros(65536, np.int64)
-        for (n, code), s in self.lookup.items():
-            at = code << 16 - n
-            symbol[at : at + (1 << 16 - n)], length[at : at + (1 << 16 - n)] = s, n
-        return symbol, length
+        return _wide(tuple(self.lookup.items()))
+
+
+@lru_cache(maxsize=16)
+def _wide(codes: tuple[tuple[tuple[int, int], int], ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Huffman.wide of ((length, code), symbol) pairs; files of one encoder share their tables."""
+    symbol, length = np.zeros(65536, np.int64), np.zeros(65536, np.int64)
+    for (n, code), s in codes:
+        at = code << 16 - n
+        symbol[at : at + (1 << 16 - n)], length[at : at + (1 << 16 - n)] = s, n
+    symbol.flags.writeable = length.flags.writeable = False
+    return symbol, length
 
 
 class _Bits:
