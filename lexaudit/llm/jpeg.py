@@ -17,7 +17,6 @@ from __future__ import annotations
 import re
 import struct
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 
@@ -61,18 +60,11 @@ class Huffman:
 
     def wide(self) -> tuple[np.ndarray, np.ndarray]:
         """(symbol, code length) by the next 16 bits; length 0 where no code fits."""
-        return _wide(tuple(self.lookup.items()))
-
-
-@lru_cache(maxsize=16)
-def _wide(codes: tuple[tuple[tuple[int, int], int], ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Huffman.wide of ((length, code), symbol) pairs; files of one encoder share their tables."""
-    symbol, length = np.zeros(65536, np.int64), np.zeros(65536, np.int64)
-    for (n, code), s in codes:
-        at = code << 16 - n
-        symbol[at : at + (1 << 16 - n)], length[at : at + (1 << 16 - n)] = s, n
-    symbol.flags.writeable = length.flags.writeable = False
-    return symbol, length
+        symbol, length = np.zeros(65536, np.int64), np.zeros(65536, np.int64)
+        for (n, code), s in self.lookup.items():
+            at = code << 16 - n
+            symbol[at : at + (1 << 16 - n)], length[at : at + (1 << 16 - n)] = s, n
+        return symbol, length
 
 
 class _Bits:
@@ -484,55 +476,50 @@ def _dc_bits(diff: np.ndarray) -> bytes:
 _HEAD = b"\xff\xd8" + _segment(0xDB, bytes([0, *[1] * 64])) + _table(0, 0, 4, list(range(10))) + _table(0, 1, 1, [0]) + _table(1, 0, 1, [8]) + _table(1, 1, 1, [0])
 
 
-def _shares(blocks: int) -> tuple[int, int, int]:
-    """How many of a payload's blocks the luma plane and each chroma plane hold: 4:2:0 has room for them so."""
-    luma = -(-2 * blocks // 3)
-    first = -(-(blocks - luma) // 2)
-    return luma, first, blocks - luma - first
-
-
 def encode_payload(payload: bytes) -> bytes:
-    """A progressive 4:2:0 JPEG whose coefficients are 256 + the payload's bytes, 64 a block, luma and then chroma.
+    """A progressive 4:2:0 JPEG whose luma coefficients are 256 + the payload's bytes, 64 a block.
 
-    What is left of a plane is filled up with zero bytes; a comment tells the number of blocks.
+    The last row of blocks is filled up with zero bytes; a comment tells the number of blocks.
     """
     if not payload or len(payload) % 64:
         raise JpegError("a payload has a positive multiple of 64 bytes")
     blocks = len(payload) // 64
-    shares = _shares(blocks)
-    high = -(-shares[0] // ROW)
-    wide = -(-shares[0] // high)
+    high = -(-blocks // ROW)
+    wide = -(-blocks // high)
     if high > MOST_ROWS:
         raise JpegError("the payload does not fit into one image")
+    values = np.zeros((wide * high, 64), np.int32)
+    values[:blocks] = np.frombuffer(payload, np.uint8).reshape(-1, 64)
+    values += 256
+    chroma = -(-(wide * 4) // 8), -(-(high * 4) // 8)
     frame = struct.pack(">BHHB", 8, high * 8, wide * 8, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])
-    cells = wide * high, -(-wide // 2) * -(-high // 2)
-    source, at, first, second = np.frombuffer(payload, np.uint8).reshape(-1, 64), 0, [], []
-    for c, n in enumerate(shares, 1):
-        values = np.zeros((cells[c > 1], 64), np.int32)
-        values[:n] = source[at : at + n]
-        values += 256
-        at += n
-        first += [
-            _scan_of(c, 0x00, 0, 0, 0, 1, _dc_bits(np.diff(values[:, 0] >> 1, prepend=0))),
-            _scan_of(c, 0x00, 1, 5, 0, 1, _fixed(values[:, 1:6], 1, 8)),
-            _scan_of(c, 0x00, 6, 63, 0, 1, _fixed(values[:, 6:], 1, 8)),
-        ]
-        second += [_scan_of(c, 0x01, 1, 63, 1, 0, _refined(values)), _scan_of(c, 0x00, 0, 0, 1, 0, _packed((values[:, 0] & 1).astype(np.uint8)))]
-    return b"".join([_HEAD, _segment(0xFE, struct.pack(">I", blocks)), _segment(0xC2, frame), *first, *second, b"\xff\xd9"])
-
-
-def _refined(values: np.ndarray) -> bytes:
-    """The last bit of every coefficient after the code of its block."""
-    out = []
+    zero = _packed(np.zeros(chroma[0] * chroma[1], np.uint8))
+    dc = values[:, 0]
+    refine = []
     for at in range(0, len(values), CHUNK):
         bits = (values[at : at + CHUNK] & 1).astype(np.uint8)
         bits[:, 0] = 0  # the code of the block
-        out.append(_packed(bits.ravel()))
-    return b"".join(out)
+        refine.append(_packed(bits.ravel()))
+    return b"".join(
+        [
+            _HEAD,
+            _segment(0xFE, struct.pack(">I", blocks)),
+            _segment(0xC2, frame),
+            _scan_of(1, 0x00, 0, 0, 0, 1, _dc_bits(np.diff(dc >> 1, prepend=0))),
+            _scan_of(2, 0x10, 0, 0, 0, 0, zero),
+            _scan_of(3, 0x10, 0, 0, 0, 0, zero),
+            _scan_of(1, 0x00, 1, 5, 0, 1, _fixed(values[:, 1:6], 1, 8)),
+            _scan_of(1, 0x00, 6, 63, 0, 1, _fixed(values[:, 6:], 1, 8)),
+            _scan_of(1, 0x01, 1, 63, 1, 0, b"".join(refine)),
+            _scan_of(1, 0x00, 0, 0, 1, 0, _packed((dc & 1).astype(np.uint8))),
+            b"\xff\xd9",
+        ]
+    )
 
 
 def payload_of(image: Image) -> bytes:
     """The payload in an image of encode_payload."""
     (blocks,) = struct.unpack(">I", image.comment)
-    planes = (c.coefs.reshape(-1, c.stride, 64)[:, : c.wide].reshape(-1, 64)[:n] for c, n in zip(image.components, _shares(blocks), strict=True))
-    return b"".join((own - 256).astype(np.uint8).tobytes() for own in planes)
+    c = image.components[0]
+    own = c.coefs.reshape(-1, c.stride, 64)[:, : c.wide].reshape(-1, 64)[:blocks]
+    return (own - 256).astype(np.uint8).tobytes()
