@@ -9,6 +9,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,18 +36,53 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder, read again: lineage is cut there and lost executors lose nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexaudit/{tag}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    path = scratch(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """The path of a new folder in the shared folder, removed when the driver ends; nothing is made yet."""
+    path = f"{shared_dir(spark)}/lexaudit/{tag}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop file system, Hadoop path) of a path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+def land(spark: SparkSession, source: str, target: str) -> None:
+    """Moves a finished folder to a place that a stream watches, so that it sees all files or none."""
+    fs, to = file_system(spark, target)
+    fs.mkdirs(to.getParent())
+    if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(source), to):
+        raise OSError(f"{source} could not be moved to {target}")
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: Mapping[str, str]) -> Iterator[None]:
+    """Session settings for the block; those before come back after it.  A streaming query keeps those of its start."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 @atexit.register
 def remove_written() -> None:
     """Removes all tables written so far; plans that read them cannot run any more."""
     while _written:
         spark, path = _written.pop()
         with contextlib.suppress(Exception):  # the JVM may have ended before; then the folder's owner removes it
-            jvm = spark._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+            fs, at = file_system(spark, path)
+            fs.delete(at, True)
