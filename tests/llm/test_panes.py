@@ -73,7 +73,7 @@ def made(n, seed):
     rows += rows[:20] + [(7, ts, arrived, "z", 0.0) for _, ts, arrived, _, _ in rows[:3]]  # repeats, and other rows of one id
     day = dt.datetime(2024, 1, 9, 5)
     rows += [(None, day, day, "a", 1.0), (None, day, day, "a", 1.0), (None, day, day, "a", 2.0), (9001, None, day, "a", 1.0), (9002, day, None, "a", 1.0)]
-    rows += [(9003, dt.datetime(1969, 12, 31, 22), dt.datetime(1969, 12, 31, 23), "old", 1.0), (9004, dt.datetime(1, 1, 1), day, "old", 1.0)]
+    rows += [(9003, dt.datetime(1969, 12, 31, 22), dt.datetime(1969, 12, 31, 23), "old", 1.0), (9004, dt.datetime(200, 1, 1), day, "old", 1.0)]
     return rows
 
 
