@@ -55,6 +55,9 @@ OUT = "record string, kind string, hour long, click_id long, n_rows long, cents
 STREAM_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # a start has one batch: its stores are closed, with their local files, once it is committed
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
 
