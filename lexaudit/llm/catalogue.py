@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexaudit.llm import bpe, html_extract, license_scan, media, packing, panes, pii, simhash, toxicity, url_filter, variants, vector_dedup
+from lexaudit.llm import bpe, html_extract, license_scan, media, packing, panes, pii, simhash, toxicity, url_filter, variants, vector_dedup, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_html_extract": html_extract.op8_html_extract,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_license_scan": license_scan.op10_license_scan,
+    "op11_warc": warc.op11_warc,
     "op12_spelling": variants.op12_spelling,
     "op13_panes": panes.op13_panes,
 }
@@ -22,6 +23,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_url_filter": url_filter.OP1_SQL,
     "op10_license_scan": license_scan.OP10_SQL,
+    "op11_warc": warc.OP11_SQL,
     "op12_spelling": variants.OP12_SQL,
     "op13_panes": panes.OP13_SQL,
 }
