@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexaudit.functions.stats import clopper_pearson, mcnemar_exact
+from lexaudit.sources.shared import written
 
 
 def any_match(rows: DataFrame, keys: Sequence[str], hit: Column, name: str = "caught") -> DataFrame:
@@ -93,8 +94,48 @@ def gaps(numbers: DataFrame, column: str) -> DataFrame:
 
 
 def sizes(rows: DataFrame, column: str, groups: Sequence[str] = ()) -> DataFrame:
-    """count, sum, median (mean of the middle two) and max of a column."""
-    return rows.groupBy(*groups).agg(F.count(column).alias("n"), F.sum(column).alias("total"), F.percentile(column, F.lit(0.5)).alias("median"), F.max(column).alias("most"))
+    """count, sum, median (mean of the middle two) and max of a column; a group without values has no median."""
+    most = rows.groupBy(*groups).agg(F.count(column).alias("n"), F.sum(column).alias("total"), F.max(column).alias("most"))
+    middle = medians(rows, column, groups).select(*(F.col(g).alias(f"_{i}") for i, g in enumerate(groups)), "median")
+    on = [F.col(g).eqNullSafe(F.col(f"_{i}")) for i, g in enumerate(groups)] or F.lit(True)
+    return most.join(middle, on, "left").select(*groups, "n", "total", "median", "most")
+
+
+#: Ranges that a round of medians counts for each group, and up to how many groups' ranges are broadcast.
+RANGES, MOST_BROADCAST = 1024, 100_000
+
+
+def medians(rows: DataFrame, column: str, groups: Sequence[str] = ()) -> DataFrame:
+    """(groups, median): the mean of the middle two values of each group, exactly, found by counting.
+
+    Equal values are counted once.  Then each round counts the values of each group in ranges between the bounds
+    of its middle and goes on within the range that holds it, until one value is left; no task holds a group's values.
+    Nulls and NaN do not count; a group without values is left out.
+    """
+    g = [f"_g{i}" for i in range(len(groups))]
+    x = rows.select(*(F.col(a).alias(b) for a, b in zip(groups, g, strict=True)), F.col(column).alias("_x"))
+    x = x.where(~F.isnan(F.col("_x").cast("double")) & F.col("_x").isNotNull())
+    counts = written(x.groupBy(*g, "_x").agg(F.count(F.lit(1)).alias("_n")), "counts")
+    ends = counts.groupBy(*g).agg(F.sum("_n").alias("_all"), F.min("_x").alias("lo"), F.max("_x").alias("hi")).where("_all > 0")
+    ranks = F.array_distinct(F.array(F.expr("(_all - 1) div 2"), F.expr("_all div 2")))
+    todo = written(ends.select(*g, F.explode(ranks).alias("rank"), "lo", "hi", F.lit(0).cast("long").alias("below")), "middles")
+    while not todo.where("lo < hi").isEmpty():
+        spans = todo.where("lo < hi").select(*g, "lo", "hi", "below").distinct()
+        own = F.broadcast(spans) if spans.count() <= MOST_BROADCAST else spans
+        named = own.select(*(F.col(c).alias(f"{c}_") for c in g), "lo", "hi", "below")
+        same = lambda: [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in g]
+        inside = counts.join(named, [*same(), F.col("_x") >= F.col("lo"), F.col("_x") <= F.col("hi")])
+        half = lambda c: F.col(c).cast("double") / 2  # noqa: E731  two values may be further apart than a double can say
+        place = F.least(F.lit(RANGES - 1), F.floor((half("_x") - half("lo")) / (half("hi") - half("lo")) * RANGES))
+        place = F.when(F.col("_x") == F.col("lo"), 0).when(F.col("_x") == F.col("hi"), RANGES - 1).otherwise(F.coalesce(place, F.lit(0)))
+        h = inside.groupBy(*g, "lo", "hi", "below", place.alias("_p")).agg(F.sum("_n").alias("_n"), F.min("_x").alias("low"), F.max("_x").alias("high"))
+        upto = Window.partitionBy(*g, "lo", "hi").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+        h = h.withColumn("first", F.col("below") + F.coalesce(F.sum("_n").over(upto), F.lit(0)))
+        h = h.select(*(F.col(c).alias(f"{c}_") for c in g), F.col("lo").alias("lo_"), F.col("hi").alias("hi_"), "low", "high", "first", "_n")
+        hit = [*same(), F.col("lo") == F.col("lo_"), F.col("hi") == F.col("hi_"), F.col("rank") >= F.col("first"), F.col("rank") < F.col("first") + F.col("_n")]
+        going = todo.where("lo < hi").join(h, hit).select(*g, "rank", F.col("low").alias("lo"), F.col("high").alias("hi"), F.col("first").alias("below"))
+        todo = written(todo.where("lo = hi").unionByName(going), "middles")
+    return todo.groupBy(*g).agg(F.avg(F.col("lo").cast("double")).alias("median")).select(*(F.col(b).alias(a) for a, b in zip(groups, g, strict=True)), "median")
 
 
 def intersection(votes: DataFrame, keys: Sequence[str], allowed: str) -> DataFrame:

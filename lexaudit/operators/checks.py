@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from lexaudit.functions import numeric
 from lexaudit.operators.aggregates import merged_flags
+from lexaudit.operators.joins import one_left_out
+from lexaudit.sources.shared import written
 
 # Fixed values.
 ENGLISH = "en_us"
@@ -185,7 +187,10 @@ def facts_of(doc: dict) -> Iterator[dict]:
 
 
 def facts(inputs: DataFrame) -> DataFrame:
-    """Long table of all facts of inputs(id, input): one row a fact.  Unreadable documents give none."""
+    """Long table of all facts of inputs(id, input): one row a fact.  Unreadable documents give none.
+
+    Documents are read once: the table is written, laid out by kind of fact, so that each rule reads the kinds it compares.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -198,7 +203,7 @@ def facts(inputs: DataFrame) -> DataFrame:
                 rows += [r | {"id": i} for r in facts_of(doc)]
             yield pa.RecordBatch.from_pylist([{c: r.get(c) for c in COLUMNS} for r in rows], schema=ARROW)
 
-    return inputs.select(F.col("id").cast("string"), "input").mapInArrow(run, FACTS)
+    return written(inputs.select(F.col("id").cast("string"), "input").mapInArrow(run, FACTS), "facts", "what")
 
 
 # -- the rules ------------------------------------------------------------------------------------
@@ -251,32 +256,36 @@ def compared(all_facts: DataFrame) -> DataFrame:
         shown = F.concat(F.lit("@"), "token", F.lit("@ shows "), F.coalesce("text", F.lit("None")))
         return df.select("id", F.col("name").alias("placeholder"), "token", shown.alias("shown"), F.lit(rule).alias("rule"), outcome.alias("outcome"), detail.alias("detail"), value_name.alias("value_name"))
 
-    j = s.where(F.col("shape").isNotNull() & (tooltip | F.col("had"))).join(calcs, "id").where(here & another & ~F.col("o_tooltip_only") & (F.col("o_base") == F.col("base")) & ~F.col("o_had"))
+    by_base = lambda d: d.withColumn("base", F.col("o_base"))
+    j = s.where(F.col("shape").isNotNull() & (tooltip | F.col("had"))).join(by_base(calcs), ["id", "base"]).where(here & another & ~F.col("o_tooltip_only") & ~F.col("o_had"))
     rows = [out(j, "name", _outcome(F.col("value"), F.col("o_value")), text(F.col("name"), " is ", F.col("value"), " but the gameplay calculation ", F.col("o_name"), " is ", F.col("o_value")), F.col("o_name"))]
-    j = s.where("kind = 'data_value' AND had AND ranks IS NOT NULL").join(values, "id").where(here & another & (F.col("o_base") == F.col("base")) & ~F.col("o_had"))
+    j = s.where("kind = 'data_value' AND had AND ranks IS NOT NULL").join(by_base(values), ["id", "base"]).where(here & another & ~F.col("o_had"))
     rows.append(out(j, "name", _rank_outcome(F.col("ranks"), F.col("o_ranks")), text(F.col("name"), " is ", ranks(F.col("ranks")), " but the gameplay data value ", F.col("o_name"), " is ", ranks(F.col("o_ranks"))), F.col("o_name")))
     # what a tooltip calculation reads under a name with an affix
     read = s.where(tooltip).select("*", F.explode(F.array_distinct("reads")).alias("read"))
     mine = values.select("id", F.col("o_spell").alias("spell"), F.lower("o_name").alias("_low"), F.col("o_ranks").alias("r_ranks"), F.col("o_base").alias("r_base"), F.col("o_had").alias("r_had"))
     read = read.withColumn("_low", F.lower("read")).join(mine, ["id", "spell", "_low"]).where("r_had AND r_ranks IS NOT NULL")
-    j = read.join(values, "id").where(here & (F.col("o_base") == F.col("r_base")) & ~F.col("o_had"))
+    j = read.drop("base").withColumnRenamed("r_base", "base").join(by_base(values), ["id", "base"]).where(here & ~F.col("o_had"))
     rows.append(out(j, "name", _rank_outcome(F.col("r_ranks"), F.col("o_ranks")), text(F.col("name"), " reads ", F.col("read"), " = ", ranks(F.col("r_ranks")), " but the gameplay data value ", F.col("o_name"), " is ", ranks(F.col("o_ranks"))), F.col("read")))
     # ratios: against the coefficient fields for AP, against gameplay ratios of the same stat for AD
     r = s.where(tooltip & ~F.col("percent")).select("*", F.explode("stats").alias("st")).where((F.abs(F.col("st.coef")) > 1e-6) & (F.abs(F.col("st.coef") - 1) > 1e-6))
-    known_ap = r.where("st.stat = 'AP'").join(coefs, "id").where(here).withColumn("known", F.col("o_number"))
+    # here, as an equi-join: a row stands under its spell, and under the ability if it belongs to it
+    scoped = lambda d, spell, member: d.withColumn("_scope", F.explode(F.when(F.col(member), F.array(F.concat(F.lit("s:"), spell), F.lit("ability"))).otherwise(F.array(F.concat(F.lit("s:"), spell)))))
+    r = scoped(r, "spell", "member")
+    known_ap = r.where("st.stat = 'AP'").join(scoped(coefs, "o_spell", "o_member"), ["id", "_scope"]).withColumn("known", F.col("o_number"))
     play = calcs.where(~F.col("o_tooltip_only")).select("id", "o_spell", "o_member", F.explode("o_stats").alias("os"))
-    known_ad = r.where(F.col("st.stat").isin(*AD_STATS)).join(play, "id").where(here & (F.col("os.stat") == F.col("st.stat"))).withColumn("known", F.col("os.coef"))
+    play = scoped(play, "o_spell", "o_member").withColumn("_stat", F.col("os.stat"))
+    known_ad = r.where(F.col("st.stat").isin(*AD_STATS)).withColumn("_stat", F.col("st.stat")).join(play, ["id", "_scope", "_stat"]).withColumn("known", F.col("os.coef"))
     cols = ["id", "name", "token", "text", "st", "known"]
     both = known_ap.select(*cols).unionByName(known_ad.select(*cols))
     g = both.groupBy("id", "name", "token", "text", "st").agg(F.max(F.abs(F.col("known") - F.col("st.coef")) <= 1e-6).alias("hit"), F.array_sort(F.collect_set("known")).alias("known"))
     of = F.when(F.col("st.stat") == "AP", "the spell's coefficients").otherwise(F.concat(F.lit("the gameplay calculations' "), F.col("st.stat"), F.lit(" ratios")))
     rows.append(out(g, "ratio", F.when(F.col("hit"), "same").otherwise("differ"), text("its ", F.col("st.stat"), " ratio ", F.col("st.coef").cast("string"), " is none of ", of, " (", F.array_join(F.transform("known", lambda v: v.cast("string")), ", "), ")"), F.col("name")))
     # copies: the same parts with other numbers, or one part left out
-    j = s.where(tooltip).join(calcs, "id").where(here & another & ~F.col("o_tooltip_only") & ((F.size("reads") > 0) | _link("base", "o_base")))
-    same = j.where("shape = o_shape AND filled <> o_filled")
+    alike = here & another & ~F.col("o_tooltip_only") & ((F.size("reads") > 0) | _link("base", "o_base"))
+    same = s.where(tooltip).join(calcs.withColumn("shape", F.col("o_shape")), ["id", "shape"]).where(alike & F.expr("filled <> o_filled"))
     rows.append(out(same, "copy", _outcome(F.col("value"), F.col("o_value")), text("it has the parts of the gameplay calculation ", F.col("o_name"), " (", F.col("o_value"), ") with different numbers"), F.col("o_name")))
-    without = lambda i: F.concat(F.slice("o_parts", 1, i), F.slice("o_parts", i + 2, F.size("o_parts")))
-    short = j.where(F.col("rest").eqNullSafe(F.col("o_rest")) & (F.size("o_parts") == F.size("parts") + 1)).where(F.exists(F.sequence(F.lit(0), F.size("o_parts") - 1), lambda i: without(i) == F.col("parts")))
+    short = one_left_out(s.where(tooltip), calcs, ["id"], "parts", "o_parts").where(alike & F.col("rest").eqNullSafe(F.col("o_rest")))
     rows.append(out(short, "copy", F.lit("differ"), text("it is the gameplay calculation ", F.col("o_name"), " (", F.col("o_value"), ") with a term left out"), F.col("o_name")))
     # stale: shown from a spell of the ability that is not its slot spell
     stale = s.where("member").where(~F.coalesce(F.col("slot").isin(*SLOTS), F.lit(False))).withColumn("_low", F.lower("name"))

@@ -7,6 +7,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexaudit.operators.paths import nodes, text_of
 from lexaudit.sources.shared import written
 
 
@@ -73,27 +74,9 @@ LINKED = "names or is named by a spell of the group"
 
 def strings_of(objects: DataFrame) -> DataFrame:
     """(folder, path, value) of every string in the JSON objects(folder, path, obj), but under fields of labels and own names."""
-    import json
-    from collections.abc import Iterator
-
-    import pandas as pd
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            rows = []
-            for folder, path, obj in zip(p["folder"], p["path"], p["obj"], strict=True):
-                todo = [json.loads(obj)]
-                while todo:
-                    x = todo.pop()
-                    if isinstance(x, dict):
-                        todo += [v for k, v in x.items() if k not in UNREAD]
-                    elif isinstance(x, list):
-                        todo += x
-                    elif isinstance(x, str):
-                        rows.append((folder, path, x))
-            yield pd.DataFrame(rows, columns=["folder", "path", "value"])
-
-    return objects.select("folder", "path", "obj").mapInPandas(run, "folder string, path string, value string").distinct()
+    own = objects.select("folder", F.col("path").alias("_path"), "obj")
+    found = nodes(own, ["folder", "_path"], "obj", leave=UNREAD).select("folder", F.col("_path").alias("path"), text_of(F.col("json")).alias("value"))
+    return found.where("value IS NOT NULL").distinct()
 
 
 def links(strings: DataFrame, names: DataFrame) -> DataFrame:
@@ -123,9 +106,10 @@ def assign_groups(spells: DataFrame, edges: DataFrame, later: DataFrame | None =
     # the longest seed name wins; of equal ones the first path
     free = s.join(done.select(*key), key, "left_anti").where("NOT mode")
     by = seeds.select("folder", F.col("name").alias("seed"), F.col("path").alias("seed_path"))
-    starts = free.join(by, "folder").where(F.col("seed") != "")
-    nxt = F.substr("name", F.length("seed") + 1, F.lit(1))
-    starts = starts.where((F.length("name") == F.length("seed")) | nxt.rlike("[A-Z0-9_]")).where(F.lower(F.substr("name", F.lit(1), F.length("seed"))) == F.lower("seed"))
+    # an entry's own beginnings, cut at word boundaries, meet the seeds in an equi-join
+    cuts = F.filter(F.sequence(F.lit(1), F.length("name")), lambda i: (i == F.length("name")) | F.substr("name", i + 1, F.lit(1)).rlike("[A-Z0-9_]"))
+    starts = free.where("name <> ''").withColumn("_begin", F.explode(F.transform(cuts, lambda i: F.lower(F.substr("name", F.lit(1), i)))))
+    starts = starts.join(by.where("seed <> ''").withColumn("_begin", F.lower("seed")), ["folder", "_begin"])
     best = starts.groupBy(*key).agg(F.min_by("seed", F.struct(-F.length("seed"), "seed_path")).alias("seed"))
     done = done.unionByName(best.select(*key, group.alias("group"), F.lit("slot spell").alias("source"), F.lit("script-name prefix").alias("joined_by")))
     if later is not None:

@@ -96,28 +96,34 @@ def within(left: DataFrame, right: DataFrame, a: str, b: str, tolerance: float)
 
 
 def find_names(docs: DataFrame, key: str, text: str, names: DataFrame, most_words: int) -> DataFrame:
-    """(key, start_word, name) of the names that stand in texts as whole words; the longest wins where they overlap.
+    """(key, start_word, name) of the names that stand in texts as whole words; of overlapping ones the first counts, of those with one start the longest.
 
-    names(name) has lower-case names of up to most_words words.  Texts are cut into runs of words that meet
-    names in an equi-join, so neither side is compared with all of the other.
+    names(name) may be longer than most_words words; those are left out.  Texts are walked along a trie of the
+    names (``dictionary``), so neither side is compared with all of the other.
     """
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    d = docs.select(key, words.alias("_w"))
-    runs = None
-    for n in range(1, most_words + 1):
-        starts = F.when(F.size("_w") >= n, F.sequence(F.lit(1), F.size("_w") - n + 1)).otherwise(F.array().cast("array<int>"))
-        own = d.select(key, F.explode(_runs(starts, n)).alias("_g")).select(key, F.lit(n).alias("_n"), F.col("_g.i").alias("_i"), F.col("_g.r").alias("name"))
-        runs = own if runs is None else runs.unionByName(own)
-    hits = runs.join(names.select("name").distinct(), "name")
-    per = hits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("n"), F.col("_i").alias("i"), F.col("name").alias("name")))).alias("_h"))
-    empty = F.array().cast("array<struct<n:int,i:int,name:string>>")
-    clash = lambda x, y: (x["i"] < y["i"] - y["n"]) & (y["i"] < x["i"] - x["n"])
-    kept = F.aggregate("_h", empty, lambda a, x: F.when(F.exists(a, lambda y: clash(x, y)), a).otherwise(F.concat(a, F.array(x))))
-    return per.select(key, F.explode(kept).alias("_k")).select(key, (F.col("_k.i") - 1).cast("int").alias("start_word"), F.col("_k.name").alias("name"))
-
-
-def _runs(starts: Column, n: int) -> Column:
-    return F.transform(starts, lambda i: F.struct(i.alias("i"), F.array_join(F.slice(F.col("_w"), i, n), " ").alias("r")))
+    from lexaudit.operators import dictionary
+
+    some = names.where(F.size(dictionary.words(F.col("name"))) <= most_words)
+    hits = dictionary.leftmost_longest(dictionary.occurrences(docs, key, text, some), key)
+    return hits.select(key, F.col("start").alias("start_word"), "name")
+
+
+def lists_without_one(parts: Column) -> Column:
+    """The distinct lists that are left when one element of a list is taken out."""
+    out = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.concat(F.slice(parts, F.lit(1), i), F.slice(parts, i + 2, F.size(parts))))
+    return F.when(F.size(parts) > 0, F.array_distinct(out))
+
+
+def one_left_out(left: DataFrame, right: DataFrame, by: Sequence[str], parts: str, other: str) -> DataFrame:
+    """Pairs of rows under the same ``by`` where left's list ``parts`` is right's list ``other`` with one element left out.
+
+    Each list of right gives a digest for each element left out, and an equi-join on ``by`` and the digest finds
+    the lists of left, wherever in the list the element stood.  Null lists pair with nothing.
+    """
+    digest = lambda x: F.sha2(F.to_json(x), 256)
+    l = left.withColumn("_list", digest(F.col(parts)))
+    r = right.withColumn("_list", F.explode(F.transform(lists_without_one(F.col(other)), digest)))
+    return l.join(r, [*by, "_list"]).drop("_list")
 
 
 def owners(rows: DataFrame, key: str, path: str, main: Column, named: Column) -> DataFrame:

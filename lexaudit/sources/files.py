@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def json_lines(spark: SparkSession, paths: str | Sequence[str], schema: StructType | str | None = None) -> DataFrame:
@@ -15,6 +15,27 @@ def json_lines(spark: SparkSession, paths: str | Sequence[str], schema: StructTy
     return (r.schema(schema) if schema is not None else r).json(paths if isinstance(paths, str) else list(paths))
 
 
+def readable_lines(spark: SparkSession, paths: str | Sequence[str], schema: StructType) -> tuple[DataFrame, DataFrame]:
+    """(good, bad) of JSON lines: rows of the schema, and (file, line, text) of lines that are none.
+
+    A line is bad if it is no JSON object or a field has another type.  Blank lines are skipped but count as
+    lines.  A file may be read by many tasks: lines are numbered within the block that a task read, and blocks have their
+    first line from a count of those before.
+    """
+    bad_name = "_unreadable"
+    full = StructType([*schema.fields, StructField(bad_name, StringType())])
+    m = F.col("_metadata")
+    lines = spark.read.text(paths if isinstance(paths, str) else list(paths)).select("value", m["file_path"].alias("file"), m["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("_at"))
+    read = lines.where(F.trim("value") != "").withColumn("_r", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad_name}))
+    fails = F.col("_r").isNull() | F.col(f"_r.{bad_name}").isNotNull() | ~F.ltrim("value").startswith("{")
+    good = read.where(~fails).select("_r.*").drop(bad_name)
+    blocks = lines.groupBy("file", "block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.withColumn("_before", F.coalesce(before, F.lit(0)))
+    bad = read.where(fails).join(blocks, ["file", "block"]).select("file", (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("line"), F.col("value").alias("text"))
+    return good, bad
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -93,11 +114,25 @@ def method_spec(spec: str) -> tuple[str, list[str]]:
 
 
 def write_json_lines(df: DataFrame, path: str, *, one_file: bool = False) -> None:
-    """JSON lines without null fields and without columns that start with an underscore; whole or not at all."""
+    """JSON lines without null fields and without columns that start with an underscore; what was there before goes first.
+
+    A job that fails leaves nothing to read.  Where readers must go on with what they had, use ``publish``.
+    """
     own = df.drop(*(c for c in df.columns if c.startswith("_")))
     (own.coalesce(1) if one_file else own).write.mode("overwrite").option("ignoreNullFields", True).json(path)
 
 
+def write_counted(df: DataFrame, write: Callable[[DataFrame], None], counters: Mapping[str, Column]) -> dict:
+    """Writes df by ``write`` and returns counters (aggregates over its rows), gathered by the same job.
+
+    A partition that is computed again after a lost executor counts again: counts of a job that had to may
+    be too high, and are then to be read from what was written.
+    """
+    seen = Observation()
+    write(df.observe(seen, *(c.alias(name) for name, c in counters.items())))
+    return seen.get
+
+
 def append_log(df: DataFrame, path: str) -> None:
     """Adds lines to a log; readers take the last line of a key."""
     df.write.mode("append").json(path)
