@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexaudit.operators import graph, paths
-from lexaudit.plans import matching
+from lexaudit.plans import matching, scoring
+from lexaudit.sources import pages
 
 
 def docs(spark, *texts):
@@ -59,6 +60,29 @@ def test_strings_are_found_without_python(spark):
     assert "Python" not in found._jdf.queryExecution().toString() and "Pandas" not in found._jdf.queryExecution().toString()
 
 
+def test_lines_without_python_agree_with_a_parser(spark):
+    """Nested, unclosed and quoted elements, references, raw text, odd tags: the parser of one page gives the same lines."""
+    made = [
+        "<h2>A</h2><p>one</p><h3>B</h3><ul><li>two <b>x</b></li><li>three</ul><h2>C</h2><blockquote><p>four</blockquote><script>no</script><p>five<br>six",
+        "<p title='a > b'>x &amp;lt; y &lt;z&gt; &#65;&#x1F600; &nope; &</p> lost <td>1<td>2</table>tail<p>in <!-- <p>not --> p",
+        "<h2></h2><h3>S</h3><p>a</p><h2>T</h2><p>b</p><h4>U</h4><h3>V</h3><p>c<h4>W<p>d",
+        "<li>out <p>inner</p> more</li><li>next",
+        "<blockquote>q <p>p</p> r <blockquote>deep</blockquote> s</blockquote> none </blockquote><p>z",
+        "<style>p{}</style><P CLASS=x>Upper</P><p></p><p> \u00a0 </p><p>a\tb\n c",
+        "", None, "no tags", "<p", "<p>1 < 2</p>", "<script>never <p>ends",
+    ]
+    made = [m and m.encode().decode("unicode_escape") if m and "\\u" in m else m for m in made]
+    got = pages.page_lines(spark.createDataFrame(list(enumerate(made)), "page_id int, html string"))
+    rows = sorted((r["page_id"], r["section"], r["subject"], r["ability"], r["text"], r["tag"], r["quote"]) for r in got.collect())
+    want = sorted((i, x["section"], x["subject"], x["ability"], x["text"], x["tag"], x["quote"]) for i, m in enumerate(made) for x in pages.lines_of(m))
+    assert rows == want
+    assert "Python" not in got._jdf.queryExecution().toString() and "Pandas" not in got._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize("name", matching.QUERIES)
 def test_queries(agree, name):
     agree(matching.QUERIES[name], matching.SQL[name])
+
+
+def test_lines_of_the_pages(agree):
+    agree(scoring.html_lines_with_context, matching.SQL["html_lines_with_context"])
