@@ -37,8 +37,11 @@ from lexaudit.llm._util import small_batches
 #: Tags that end a block.  Fixed values of HTML.
 BLOCK_TAGS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: What is skipped up to its end tag.
-RAW_TAGS = frozenset("script style textarea title template noscript svg math iframe object canvas select button audio video".split())
+#: What HTML reads as raw text: skipped up to its end tag.
+RAW_TAGS = frozenset("script style textarea title noscript iframe".split())
+#: Elements whose text is not the page's own; a block that begins within one of PHRASES ends it, others may hold blocks.
+PHRASES = frozenset("button select svg math".split())
+EMBEDDED = PHRASES | frozenset("object canvas audio video template".split())
 #: An open one of these ends where the next begins.
 ITEM_TAGS = frozenset("p li dd dt tr td th option".split())
 #: Tags that hold one run of text; a name on them says less than one on a container.
@@ -60,7 +63,8 @@ AFTER = re.compile(
     re.I,
 )
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]{0,4000}+\"|'[^']{0,4000}+'){0,200}+)(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)(?:>|\Z)", re.S)
+#: Comments, declarations and tags.  A quote has a meaning behind = alone, and only if it is closed, so that every value ends where it should however long it is.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _CLOSED = re.compile(r"(?:^|[\s\"'])/$")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW_TAGS}
@@ -101,7 +105,7 @@ class _Element:
             self.article, self.boiler = True, False
         elif tag == "article":
             self.article = True
-        elif tag in BOILER_TAGS or tag == "header" and not self.article:
+        elif tag in BOILER_TAGS or tag in EMBEDDED or tag == "header" and not self.article:
             self.boiler = True
         if attributes:
             self._read(tag, attributes)
@@ -159,6 +163,8 @@ def blocks_of(html: str) -> list[Block]:
     linked = number = 0
     low = 0  # depth of the highest element since the last block
     at, end = 0, len(html)
+    embedded = 0  # open elements of EMBEDDED
+    last_end: dict[str, int] = {}  # where the last end tag of an element of EMBEDDED is
 
     def flush() -> None:
         nonlocal linked, low
@@ -179,10 +185,11 @@ def blocks_of(html: str) -> list[Block]:
 
     def close(i: int) -> None:
         """Ends all elements from place i on."""
-        nonlocal low
+        nonlocal low, embedded
         for e in stack[i:]:
             if e.tag:
                 places[e.tag].pop()
+                embedded -= e.tag in EMBEDDED
         del stack[i:]
         while blocks[-1] >= i:
             blocks.pop()
@@ -191,14 +198,15 @@ def blocks_of(html: str) -> list[Block]:
     while at < end:
         m = _TAG.search(html, at)
         text = html[at : m.start()] if m else html[at:]
-        if text:
+        # what stands in an embedded element itself is no part of the block around it
+        if text and not (embedded and any(places[t][-1] > blocks[-1] for t in EMBEDDED if places.get(t))):
             buffer.append(text)
             if places.get("a"):
                 linked += len(text)
         if not m:
             break
         at = m.end()
-        closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        closing, tag, attributes = m[1], m[2], m[3]
         if not tag:
             continue
         tag = tag.lower()
@@ -213,9 +221,10 @@ def blocks_of(html: str) -> list[Block]:
                 else:  # an inline end tag does not close blocks that stand open inside it
                     places[tag].pop()
                     stack[i].tag = ""
+                    embedded -= tag in EMBEDDED
             continue
         if tag in RAW_TAGS:
-            if block:
+            if block and not embedded:  # the title of a drawing ends nothing
                 flush()
             if not _CLOSED.search(attributes):
                 found = _RAW_END[tag].search(html, at)
@@ -223,8 +232,20 @@ def blocks_of(html: str) -> list[Block]:
             continue
         if block:
             flush()
+            if embedded and tag != "option":
+                inside = [places[t][0] for t in PHRASES if places.get(t)]
+                if inside:
+                    close(min(inside))
             if tag in ITEM_TAGS and stack[blocks[-1]].tag == tag:
                 close(blocks[-1])
+        if tag in EMBEDDED:
+            if tag not in last_end:
+                last_end[tag] = max((e.start() for e in re.finditer(rf"</{tag}(?=[\s/>])", html, re.I)), default=-1)
+            if at > last_end[tag]:  # it is never closed: what follows is the page's
+                continue
+            if tag == "button" and places.get(tag):
+                close(places[tag][-1])
+            embedded += not _CLOSED.search(attributes)
         if tag in VOID_TAGS or _CLOSED.search(attributes):
             continue
         number += 1
