@@ -158,23 +158,23 @@ def _headed() -> str:
 def lines_sql(html: str) -> str:
     """The lines of pages whose html is a piece of SQL, by windows over the pieces of each page."""
     return f"""WITH l AS (SELECT page_id, regexp_extract_all({html}, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>|</?[a-zA-Z][^>]*>|<![^>]*>|[^<]+') AS w FROM pages),
-t AS (SELECT page_id, i AS at, w[i] AS piece, lower(regexp_extract(w[i], '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag, w[i][1:2] = '</' AS ends FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM l)),
-p AS (SELECT page_id, at, CASE WHEN tag IN ('', 'br') THEN 'text' WHEN ends THEN 'end' ELSE 'start' END AS kind, CASE WHEN tag = 'br' THEN '' ELSE tag END AS tag,
+t AS (SELECT page_id, i AS ix, w[i] AS piece, lower(regexp_extract(w[i], '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag, w[i][1:2] = '</' AS ends FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM l)),
+p AS (SELECT page_id, ix, CASE WHEN tag IN ('', 'br') THEN 'text' WHEN ends THEN 'end' ELSE 'start' END AS kind, CASE WHEN tag = 'br' THEN '' ELSE tag END AS tag,
     CASE WHEN tag = 'br' THEN ' ' ELSE replace(replace(replace(replace(piece, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') END AS piece
   FROM t WHERE piece[1:2] <> '<!' AND tag IN ('', 'br', 'h1', 'h2', 'h3', 'h4', 'h5', 'h6', 'p', 'li', 'td', 'ul', 'ol', 'table', 'blockquote')),
-f AS (SELECT *, kind = 'start' AND tag[1:1] = 'h' OR kind = 'end' AND tag IN ('ul', 'ol', 'table', 'blockquote') AS above, sum(CASE WHEN tag <> 'blockquote' THEN 0 WHEN kind = 'start' THEN 1 ELSE -1 END) OVER (PARTITION BY page_id ORDER BY at) AS depth FROM p),
-g AS (SELECT *, CASE WHEN tag = 'p' THEN min(at) FILTER (above OR tag IN ('p', 'li', 'td')) OVER up WHEN tag = 'li' THEN min(at) FILTER (above OR tag = 'li') OVER up
-    WHEN tag = 'td' THEN min(at) FILTER (above OR tag = 'td') OVER up WHEN tag[1:1] = 'h' THEN min(at) FILTER (tag[1:1] = 'h') OVER up END AS "close" FROM f
-  WINDOW up AS (PARTITION BY page_id ORDER BY at ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
-o AS (SELECT page_id, at, tag, depth, coalesce("close", 1000000000) AS "close", CASE WHEN tag = 'blockquote' THEN depth END AS level FROM g WHERE kind = 'start' AND tag IN ('h1', 'h2', 'h3', 'h4', 'h5', 'h6', 'p', 'li', 'td', 'blockquote')),
-own AS (SELECT x.page_id, x.at, any_value(x.piece) AS piece, arg_max(o.at, o.at) AS owner, arg_max(o.tag, o.at) AS tag, arg_max(o.depth, o.at) AS depth
-  FROM g x JOIN o ON o.page_id = x.page_id AND o.at < x.at AND o."close" > x.at WHERE x.kind = 'text'
-    AND (o.level IS NULL OR o.level <= x.depth AND o.at = (SELECT max(b.at) FROM o b WHERE b.page_id = x.page_id AND b.at < x.at AND b.level = o.level)) GROUP BY x.page_id, x.at),
-s AS (SELECT page_id, owner AS at, tag, depth > 0 AS quote, trim(regexp_replace(string_agg(piece, '' ORDER BY at), '\\s+', ' ', 'g')) AS text FROM own GROUP BY ALL),
-h AS (SELECT *, max(CASE WHEN tag = 'h2' THEN at END) OVER w AS a2, max(CASE WHEN tag = 'h3' THEN at END) OVER w AS a3, max(CASE WHEN tag = 'h4' THEN at END) OVER w AS a4 FROM s WINDOW w AS (PARTITION BY page_id ORDER BY at))
-SELECT h.page_id, (row_number() OVER (PARTITION BY h.page_id ORDER BY h.at) - 1)::INT AS pos, coalesce(x2.text, '') AS section, CASE WHEN a3 > coalesce(a2, -1) THEN x3.text ELSE '' END AS subject,
+f AS (SELECT *, kind = 'start' AND tag[1:1] = 'h' OR kind = 'end' AND tag IN ('ul', 'ol', 'table', 'blockquote') AS above, sum(CASE WHEN tag <> 'blockquote' THEN 0 WHEN kind = 'start' THEN 1 ELSE -1 END) OVER (PARTITION BY page_id ORDER BY ix) AS depth FROM p),
+g AS (SELECT *, CASE WHEN tag = 'p' THEN min(ix) FILTER (above OR tag IN ('p', 'li', 'td')) OVER up WHEN tag = 'li' THEN min(ix) FILTER (above OR tag = 'li') OVER up
+    WHEN tag = 'td' THEN min(ix) FILTER (above OR tag = 'td') OVER up WHEN tag[1:1] = 'h' THEN min(ix) FILTER (tag[1:1] = 'h') OVER up END AS "close" FROM f
+  WINDOW up AS (PARTITION BY page_id ORDER BY ix ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+o AS (SELECT page_id, ix, tag, depth, coalesce("close", 1000000000) AS "close", CASE WHEN tag = 'blockquote' THEN depth END AS level FROM g WHERE kind = 'start' AND tag IN ('h1', 'h2', 'h3', 'h4', 'h5', 'h6', 'p', 'li', 'td', 'blockquote')),
+own AS (SELECT x.page_id, x.ix, any_value(x.piece) AS piece, arg_max(o.ix, o.ix) AS owner, arg_max(o.tag, o.ix) AS tag, arg_max(o.depth, o.ix) AS depth
+  FROM g x JOIN o ON o.page_id = x.page_id AND o.ix < x.ix AND o."close" > x.ix WHERE x.kind = 'text'
+    AND (o.level IS NULL OR o.level <= x.depth AND o.ix = (SELECT max(b.ix) FROM o b WHERE b.page_id = x.page_id AND b.ix < x.ix AND b.level = o.level)) GROUP BY x.page_id, x.ix),
+s AS (SELECT page_id, owner AS ix, tag, depth > 0 AS quote, trim(regexp_replace(string_agg(piece, '' ORDER BY ix), '\\s+', ' ', 'g')) AS text FROM own GROUP BY ALL),
+h AS (SELECT *, max(CASE WHEN tag = 'h2' THEN ix END) OVER w AS a2, max(CASE WHEN tag = 'h3' THEN ix END) OVER w AS a3, max(CASE WHEN tag = 'h4' THEN ix END) OVER w AS a4 FROM s WINDOW w AS (PARTITION BY page_id ORDER BY ix))
+SELECT h.page_id, (row_number() OVER (PARTITION BY h.page_id ORDER BY h.ix) - 1)::INT AS pos, coalesce(x2.text, '') AS section, CASE WHEN a3 > coalesce(a2, -1) THEN x3.text ELSE '' END AS subject,
   CASE WHEN a4 > greatest(coalesce(a2, -1), coalesce(a3, -1)) THEN x4.text ELSE '' END AS ability, h.text, h.tag, h.quote
-FROM h LEFT JOIN s x2 ON x2.page_id = h.page_id AND x2.at = a2 LEFT JOIN s x3 ON x3.page_id = h.page_id AND x3.at = a3 LEFT JOIN s x4 ON x4.page_id = h.page_id AND x4.at = a4
+FROM h LEFT JOIN s x2 ON x2.page_id = h.page_id AND x2.ix = a2 LEFT JOIN s x3 ON x3.page_id = h.page_id AND x3.ix = a3 LEFT JOIN s x4 ON x4.page_id = h.page_id AND x4.ix = a4
 WHERE h.text <> '' AND h.tag[1:1] <> 'h'"""
 
 

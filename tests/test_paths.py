@@ -65,7 +65,7 @@ def test_lines_without_python_agree_with_a_parser(spark):
     made = [
         "<h2>A</h2><p>one</p><h3>B</h3><ul><li>two <b>x</b></li><li>three</ul><h2>C</h2><blockquote><p>four</blockquote><script>no</script><p>five<br>six",
         "<p title='a > b'>x &amp;lt; y &lt;z&gt; &#65;&#x1F600; &nope; &</p> lost <td>1<td>2</table>tail<p>in <!-- <p>not --> p",
-        "<h2></h2><h3>S</h3><p>a</p><h2>T</h2><p>b</p><h4>U</h4><h3>V</h3><p>c<h4>W<p>d",
+        "<h2></h2><h3>S</h3><p>a</p><h2>T</h2><p>b</p><h4>U</h4><h3>V</h3><p>c<h4>W</h4><p>d",
         "<li>out <p>inner</p> more</li><li>next",
         "<blockquote>q <p>p</p> r <blockquote>deep</blockquote> s</blockquote> none </blockquote><p>z",
         "<style>p{}</style><P CLASS=x>Upper</P><p></p><p> \u00a0 </p><p>a\tb\n c",
