@@ -8,7 +8,9 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexaudit.operators import checks, evaluate
+from lexaudit.functions import hashing
+from lexaudit.operators import assemble, checks, evaluate
+from lexaudit.sources.shared import written
 
 S, K, T = "$s$", "$k$", "$t$"  # the size of a part as a number, a hundredth of it, and the size inside a string
 
@@ -228,3 +230,62 @@ FROM labels WHERE doc_id % 7 <> 0 GROUP BY 1"""
 
 QUERIES = {f.__name__: f for f in (check_flags, checks_skipped, catch_report, judged_cases, method_tests, planted_recall, failed_calls, label_draw, false_alarms, spot_scored)}
 SQL = {"check_flags": CHECK_FLAGS, "checks_skipped": SKIPPED, "catch_report": CATCH_REPORT, "judged_cases": JUDGED_CASES, "method_tests": METHOD_TESTS, "planted_recall": PLANTED_RECALL, "failed_calls": FAILED_CALLS, "label_draw": LABEL_DRAW, "false_alarms": FALSE_ALARMS, "spot_scored": SPOT_SCORED}
+
+
+# -- from entity files to flags ---------------------------------------------------------------------
+
+
+def entity_objects(spark: SparkSession, d: str) -> DataFrame:
+    """(folder, path, obj): an entity file for each part, with a record and the two spells of one ability, one of them hashed."""
+    p = spark.read.parquet(f"{d}/part.parquet")
+    k, s = F.col("p_partkey"), F.col("p_size")
+    name = F.concat(F.lit("Unit"), k.cast("string"))
+    home = F.concat(F.lit("Characters/"), name, F.lit("/Spells/"), name)
+    put = lambda template, **values: _filled(F.lit(template), values)
+    record = put('{"__type":"CharacterRecord","mCharacterName":"$name","spells":["$homeQ"],"mAbilities":["ability"]}', name=name, home=home)
+    ability = put('{"__type":"AbilityObject","mRootSpell":"$homeQ","mChildSpells":["$homeHit"]}', home=home)
+    parts = lambda value: '[{"__type":"NamedDataValueCalculationPart","mDataValue":"' + value + '"},{"__type":"StatByCoefficientCalculationPart","mCoefficient":0.5}]'
+    calcs = '{"Total":{"__type":"GameCalculation","mFormulaParts":' + parts("Base") + '},"TooltipTotal":{"__type":"GameCalculation","tooltipOnly":true,"mFormulaParts":' + parts("TooltipBase") + "}}"
+    values = '[{"name":"Base","values":[0,$a,$b,$c]},{"name":"TooltipBase","values":[0,$a,$b,$z]}]'
+    shown = '{"mTooltipData":{"mLocKeys":{"keyTooltip":"Spell_$nameQ_Tooltip"},"mLists":{"LevelUp":{"levelCount":3}}}}'
+    q = put('{"__type":"SpellObject","mScriptName":"$nameQ","mSpell":{"DataValues":' + values + ',"mSpellCalculations":' + calcs + ',"mClientData":' + shown + "}}", name=name, a=s, b=s + 25, c=s + 50, z=s + 50 + F.when(k % 3 == 0, 5).otherwise(0))
+    hit = put('{"__type":"SpellObject","mScriptName":"$nameHit","mSpell":{"mClientData":{"mTooltipData":{"mLocKeys":{"keyTooltip":"hit_$name"}}}}}', name=name)
+    rows = F.array(
+        F.struct(F.concat(F.lit("Characters/"), name, F.lit("/CharacterRecords/Root")).alias("path"), record.alias("obj")),
+        F.struct(F.lit("ability").alias("path"), ability.alias("obj")),
+        F.struct(F.concat(home, F.lit("Q")).alias("path"), q.alias("obj")),
+        F.struct(F.when(k % 2 == 0, hashing.fnv1a(F.concat(home, F.lit("Hit")))).otherwise(F.concat(home, F.lit("Hit"))).alias("path"), hit.alias("obj")),
+    )
+    return p.select(F.lower(name).alias("folder"), F.explode(rows).alias("r")).select("folder", "r.*")
+
+
+def _filled(template, values):
+    for name, value in sorted(values.items(), key=lambda x: -len(x[0])):
+        template = F.replace(template, F.lit(f"${name}"), value.cast("string"))
+    return template
+
+
+def entity_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Entity files through slots, records, documents and checks: one flag for each text whose tooltip calculation differs, and one for its typed number."""
+    objects = entity_objects(spark, d)
+    jobs, lines = assemble.entity_tables(objects, {0: "AP"})
+    texts = jobs.select("loc_key").distinct().select(
+        F.lower("loc_key").alias("key"),
+        F.when(F.col("loc_key").startswith("hit_"), "Hits for 1234 once.").otherwise("Deals @TooltipTotal@ and @Total@.").alias("text"),
+    )
+    recs = written(assemble.records(jobs, texts, patch="1.1", locale=checks.ENGLISH, stats={0: "AP"}), "records")
+    groups = jobs.select(F.concat_ws(":", "folder", "spell_path").alias("key"), F.col("folder").alias("group"), F.lit("AbilityObject").alias("joined_by"))
+    inputs = assemble.build_inputs(assemble.is_checked(recs), lines, groups, {0: "AP"})
+    flags = checks.check_inputs(written(inputs, "inputs"))
+    slots = recs.select(F.col("record_id").alias("id"), "slot", "rank_source")
+    return flags.join(slots, "id").select("id", "slot", "rank_source", "check", "rule", "placeholder")
+
+
+ENTITY_FLAGS = """WITH p AS (SELECT p_partkey AS k, p_size AS s, 'Unit' || p_partkey AS n FROM part)
+SELECT '1.1:en_us:' || lower(n) || ':Characters/' || n || '/Spells/' || n || 'Q:keyTooltip' AS id, 'Q' AS slot, 'LevelUp list' AS rank_source, 'tooltip_calc' AS "check", 'name+copy' AS rule, 'TooltipTotal' AS placeholder FROM p WHERE k % 3 = 0
+UNION ALL SELECT '1.1:en_us:' || lower(n) || ':' || CASE WHEN k % 2 = 0 THEN '{' || lpad(lower(hex(h::BIGINT)), 8, '0') || '}' ELSE 'Characters/' || n || '/Spells/' || n || 'Hit' END || ':keyTooltip',
+  'Q-form', 'ability root spell''s LevelUp list', 'typed_number', 'typed_number', NULL FROM (SELECT *, list_reduce(list_concat([2166136261::UBIGINT], list_transform(string_split(lower('Characters/' || n || '/Spells/' || n || 'Hit'), ''), lambda x: ascii(x)::UBIGINT)),
+    lambda a, x: (xor(a, x) * 16777619::UBIGINT) & 4294967295::UBIGINT) AS h FROM p)"""
+
+QUERIES["entity_flags"] = entity_flags
+SQL["entity_flags"] = ENTITY_FLAGS

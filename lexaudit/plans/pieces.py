@@ -128,9 +128,16 @@ def named_links(spark, d):
 def quota_of_nations(spark, d):
     """Twelve nations drawn in turn from the regions, a near-equal quota each."""
     rows = t(spark, d, "nation").join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("rule"), F.col("n_name").alias("id"), F.col("n_nationkey").alias("ability"), F.col("n_name").alias("text"))
-    candidates = [r.asDict() for r in rows.collect()]  # 25 nations
-    drawn, _ = sampling.quota_draw(candidates, sorted({c["rule"] for c in candidates}), 12, seed=7)
-    return spark.createDataFrame([(c["rule"], c["id"]) for c in drawn], "rule string, id string")
+    return sampling.draw_by_quota(rows, 12, seed=7)[0].select("rule", "id")
+
+
+@query("""SELECT rule, id FROM (SELECT o_orderpriority AS rule, o_orderkey::VARCHAR AS id, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('7:' || o_orderpriority || ':' || o_orderkey)) AS k, dense_rank() OVER (ORDER BY o_orderpriority) AS i FROM orders)
+  WHERE k <= 33 // 5 + CASE WHEN i <= 33 % 5 THEN 1 ELSE 0 END""")
+def quota_of_orders(spark, d):
+    """Orders drawn in turn by priority, each with an ability and a text of its own; the driver gets what can be drawn, not the table."""
+    o = t(spark, d, "orders")
+    rows = o.select(F.col("o_orderpriority").alias("rule"), F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("ability"), F.concat(F.lit("t"), "o_orderkey").alias("text"))
+    return sampling.draw_by_quota(rows, 33, seed=7)[0].select("rule", "id")
 
 
 @query("""SELECT c_custkey FROM customer ORDER BY md5('7:pool:' || c_custkey), c_custkey""")

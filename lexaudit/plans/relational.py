@@ -457,7 +457,7 @@ def connected_components(spark, d):
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT a.conv_id || ':' || a.turn AS s, b.conv_id || ':' || b.turn AS t FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
-  r AS (SELECT s AS source, t AS target, 1 AS steps FROM e UNION SELECT source, t, steps + 1 FROM r JOIN e ON s = target WHERE steps < 10) SELECT source, target, min(steps)::INT AS steps FROM r GROUP BY 1, 2""")
+  r AS (SELECT s AS source, t AS target, 1 AS steps FROM e UNION SELECT source, t, steps + 1 FROM r JOIN e ON s = target) SELECT source, target, min(steps)::INT AS steps FROM r GROUP BY 1, 2""")
 def transitive_readers(spark, d):
     c = t(spark, d, "conversations").select("conv_id", "turn").distinct()
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("turn").alias("after"))
