@@ -34,12 +34,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, tag: str, *by: str) -> DataFrame:
-    """df as a table in the shared folder, laid out by columns if any are named, read again: lineage is cut there and lost executors lose nothing."""
+    """df as a table in the shared folder, laid out by columns if any are named, read again: lineage is cut there and lost executors lose nothing.
+
+    Its files are compressed, often a hundredfold, so their size says nothing of the rows: joins with it are by shuffle,
+    as a table taken for small by its files would go to the driver and into every task.
+    """
     spark = df.sparkSession
     path = scratch(spark, tag)
     w = df.write.option("compression", "zstd")
     (w.partitionBy(*by) if by else w).parquet(path)
-    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns).hint("merge")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to several tasks a core, for work in Python on rows that are small in their files and would be few tasks as read."""
+    sc = df.sparkSession.sparkContext
+    return df.repartition(max(4 * sc.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
