@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexaudit.sources.shared import settings, written
+
 
 def union_all(*parts: DataFrame) -> DataFrame:
     """All rows of all parts by name; missing columns are null."""
@@ -28,10 +30,23 @@ def missing(wanted: DataFrame, available: DataFrame, keys: Sequence[str]) -> Dat
     return wanted.select(*keys).distinct().join(available.select(*keys), list(keys), "left_anti")
 
 
+#: Rows that one task of a shuffle gets at most, about, where their number is known before.
+TASK_ROWS = 1_000_000
+
+
 def changed_paths(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, change) of rows that only one side has, repeats counted: removed from a, or added in b."""
-    gone = a.select(*keys).exceptAll(b.select(*keys)).withColumn("change", F.lit("removed"))
-    return gone.unionByName(b.select(*keys).exceptAll(a.select(*keys)).withColumn("change", F.lit("added")))
+    """(keys, change) of rows that only one side has, repeats counted: removed from a, or added in b.
+
+    One aggregation tells both: how often more a key is in a than in b.  Repeats combine before the shuffle,
+    and the number of its tasks grows with the rows.
+    """
+    spark = a.sparkSession
+    both = a.select(*keys, F.lit(1).alias("_n")).unionByName(b.select(*keys, F.lit(-1).alias("_n")))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-both.count() // TASK_ROWS))
+    with settings(spark, {"spark.sql.shuffle.partitions": str(tasks)}):
+        net = written(both.groupBy(*keys).agg(F.sum("_n").alias("_n")).where("_n <> 0"), "net")
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.abs("_n"))).alias("_i")
+    return net.select(*keys, F.when(F.col("_n") > 0, "removed").otherwise("added").alias("change"), each).drop("_i")
 
 
 def same_set(a: Column, b: Column) -> Column:

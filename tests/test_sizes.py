@@ -2,7 +2,7 @@
 
 import json
 
-from lexaudit.operators import checks, expr
+from lexaudit.operators import checks, expr, setops
 from lexaudit.sources.shared import written
 
 
@@ -31,3 +31,15 @@ def test_equal_documents_have_equal_facts(spark):
     got = {(r.id, r.what, r.name, r.number, tuple(r.ranks or ())) for r in f.collect()}
     want = {(str(i), w, n, x, k) for i, v in ((0, 0.0), (2, 1.0), (4, 0.0), (5, 2.0), (6, 0.0)) for w, n, x, k in (("data_value", "A", None, (v,)), ("number", None, v, ()))}
     assert got == want
+
+
+def test_changed_rows_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(setops, "TASK_ROWS", 10)
+    asked = []
+    own = setops.settings
+    monkeypatch.setattr(setops, "settings", lambda s, values: asked.append(int(values["spark.sql.shuffle.partitions"])) or own(s, values))
+    a = spark.createDataFrame([(1, None)] * 3 + [(2, "x")] * 2 + [(None, "y")] + [(i, "z") for i in range(100, 300)], "k long, s string")
+    b = spark.createDataFrame([(1, None)] + [(2, "x")] * 4 + [(None, "y")] + [(i, "z") for i in range(101, 300)], "k long, s string")
+    got = sorted((r.k, str(r.s), r.change) for r in setops.changed_paths(a, b, ["k", "s"]).collect())
+    assert got == [(1, "None", "removed")] * 2 + [(2, "x", "added")] * 2 + [(100, "z", "removed")]
+    assert asked and asked[0] >= 41
