@@ -87,7 +87,8 @@ class Published:
         entry = {"version": base + 1, "tables": dict(now["tables"]), "summary": dict(summary or {})}
         for name, df in tables.items():
             folder = f"{name}-{uuid.uuid4().hex}"
-            w = df.write.option("compression", "gzip" if self.kind == "json" else "zstd").format(self.kind)
+            # rows of a part in few tasks: else each task has a file in each part; large parts are split again
+            w = (df.hint("rebalance", part) if part else df).write.option("compression", "gzip" if self.kind == "json" else "zstd").format(self.kind)
             (w.partitionBy(part) if part else w).save(f"{self.root}/data/{folder}")
             own = {p: folder for p in self._written_parts(folder, part)} if part else {WHOLE: folder}
             if only is not None:

@@ -3,6 +3,7 @@
 import json
 
 from lexaudit.operators import checks, expr, setops
+from lexaudit.sources.publish import Published
 from lexaudit.sources.shared import written
 
 
@@ -43,3 +44,11 @@ def test_changed_rows_are_dealt_by_their_number(spark, monkeypatch):
     got = sorted((r.k, str(r.s), r.change) for r in setops.changed_paths(a, b, ["k", "s"]).collect())
     assert got == [(1, "None", "removed")] * 2 + [(2, "x", "added")] * 2 + [(100, "z", "removed")]
     assert asked and asked[0] >= 41
+
+
+def test_parts_are_not_cut_into_a_file_for_each_task(spark, tmp_path):
+    store = Published(spark, f"file://{tmp_path}/store")
+    rows = spark.range(4000).repartition(8).selectExpr("id", "concat('p', id % 10) AS part")
+    store.publish({"t": rows}, part="part")
+    assert len(list(tmp_path.glob("store/data/*/*/*.parquet"))) == 10
+    assert store.read("t").orderBy("id").collect() == rows.orderBy("id").collect()
