@@ -17,8 +17,9 @@ leaves a comparison is one row a vector with its number of links and the least v
 there, not the pairs.  Lists are never capped.  Exact copies collapse first and count with their multiplicity.
 
 There are four times as many pivots as the square root of the number of vectors, so that all lists together
-grow by the power 1.5.  Beyond MOST_PIVOTS, lists are kept by pairs of pivots instead (``levels`` 2), which has
-room for some 10^9 vectors.  Vectors of different lengths never meet; each length has its pivots, and one with
+grow by the power 1.5 up to MOST_PIVOTS, and with the square of the number beyond, some four million vectors.  Lists by
+pairs of pivots (``levels`` 2) are shorter but find other pairs, so that is the caller's choice and never the
+input's size.  Vectors of different lengths never meet; each length has its pivots, and one with
 at most a block of vectors a single list.
 
 The pivots are fitted on a bounded sample chosen by a hash of the vector (MOST_PIVOTS x FOUND vectors of a
@@ -52,11 +53,6 @@ def pivots_for(n: int) -> int:
     return min(MOST_PIVOTS, max(LEAST_PIVOTS, int(4 * n**0.5)))
 
 
-def levels_for(n: int) -> int:
-    """Pivots in the name of a list."""
-    return 1 if n <= (MOST_PIVOTS // 4) ** 2 else 2
-
-
 def choose_pivots(x: np.ndarray, n: int) -> np.ndarray:
     """Up to n rows of x far from one another: each next one is the farthest from those chosen."""
     if not len(x):
@@ -160,7 +156,7 @@ def _in_blocks(rows: DataFrame, block: int) -> DataFrame:
 
 
 def near_vectors(
-    vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = 0.95, pivots: int | None = None, nearest: int = NEAREST, shared: int = SHARED, displaced: float = DISPLACED, levels: int | None = None, block: int = BLOCK
+    vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = 0.95, pivots: int | None = None, nearest: int = NEAREST, shared: int = SHARED, displaced: float = DISPLACED, levels: int = 1, block: int = BLOCK
 ) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row.
 
@@ -186,7 +182,6 @@ def near_vectors(
     # one row a length; pivots for those with more than a block of vectors
     lengths = {r[0]: r[1] for r in numbered.groupBy(F.size("x")).count().collect()}
     wanted = {dims: pivots or pivots_for(n) for dims, n in lengths.items() if n > block}
-    levels = levels or max([levels_for(n) for n in lengths.values()], default=1)
     centres: dict[int, np.ndarray] = {}
     if wanted:
         # vectors with the smallest hashes, somewhat more than needed

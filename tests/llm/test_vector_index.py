@@ -74,3 +74,7 @@ def test_pairs_count_in_one_list():
                 meets = [(a, b) for a, b in ((i, j), (j, i)) if names[a, 0] in names[b]]
                 counted = sum(bool(v.here(d[[a]], d[[b]], k[[a]], k[[b]], levels)[0]) for a, b in meets)
                 assert counted == bool(meets)
+
+
+def test_kind_of_lists_does_not_follow_the_size():
+    assert v.near_vectors.__kwdefaults__["levels"] == 1 and not hasattr(v, "levels_for")
