@@ -14,17 +14,16 @@ from lexaudit.sources.shared import written
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 100) -> DataFrame:
     """(node, component) for all ends of edges; component is the smallest node reachable.
 
-    Contraction: every node points to its smallest neighbour, pointers are followed three steps further, edges
-    are redrawn between what their ends point to, until none is left.  Minima combine before the shuffle, so hubs are
-    cheap; every round's tables are written to the shared folder.
+    Contraction: every node points to its smallest neighbour, pointers are followed to their ends by doubling, edges
+    are redrawn between the ends, until none is left.  A chain in order is one round, however long, as only its smallest node
+    is an end.  Minima combine before the shuffle, so hubs are cheap; every round's tables are written to the shared folder.
     """
     e = written(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL").distinct(), "edges")
     found = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to")), "up")
-        twice = lambda d: d.join(d.select(F.col("node").alias("to"), F.col("to").alias("up")), "to").select("node", F.col("up").alias("to"))
-        hop = written(twice(twice(up)), "hop")
+        hop = _ends(up)
         if found is None:
             found = hop.withColumnRenamed("to", "component")
         else:
@@ -37,6 +36,16 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 100
     raise RuntimeError("components did not settle")
 
 
+def _ends(up: DataFrame) -> DataFrame:
+    """(node, to) where pointers lead; they go down, so doubling ends after the logarithm of the longest way."""
+    while True:
+        two = up.join(up.select(F.col("node").alias("to"), F.col("to").alias("b")), "to").select("node", "b")
+        four = two.join(two.select(F.col("node").alias("b"), F.col("b").alias("c")), "b")
+        up = written(four.select("node", F.col("c").alias("to"), (F.col("b") != F.col("c")).alias("moved")), "hop")
+        if up.where("moved").isEmpty():
+            return up.drop("moved")
+
+
 def single_group(components: DataFrame, member_groups: DataFrame) -> DataFrame:
     """(node, group) of ungrouped nodes whose component reaches exactly one group.
 

@@ -1,4 +1,6 @@
-"""Closures longer than ten steps."""
+"""Closures longer than ten steps, and components of any shape in few rounds."""
+
+import random
 
 from lexaudit.operators import graph
 
@@ -11,3 +13,14 @@ def test_reachable_has_no_bound(spark):
     want = {(i, j): j - i for i in range(14) for j in range(i + 1, 14)}
     assert got == want | {(100 + i, 100 + (i + k) % 3): k for i in range(3) for k in (1, 2, 3)}
     assert max(r.steps for r in graph.reachable(e, "a", "b", 4).collect()) == 4
+
+
+def test_long_chains_settle_in_few_rounds(spark):
+    """A chain in order, one out of order, a hub that is its largest node, and a tree: eight rounds are enough."""
+    rnd = random.Random(3)
+    mixed = rnd.sample(range(2000, 2300), 300)
+    tree = [(5000 + i, 5000 + (i - 1) // 2) for i in range(1, 200)]
+    rows = [(i, i + 1) for i in range(600)] + list(zip(mixed, mixed[1:], strict=False)) + [(4000, i) for i in range(3900, 4000)] + tree
+    got = dict(graph.connected_components(spark.createDataFrame(rows, "a long, b long"), "a", "b", max_rounds=8).collect())
+    want = {i: 0 for i in range(601)} | {i: 2000 for i in mixed} | {i: 3900 for i in range(3900, 4001)} | {i: 5000 for i in range(5000, 5200)}
+    assert got == want
