@@ -115,15 +115,19 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, groups: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
     """docs with one row of each near-duplicate group: that with its smallest doc_id; columns unchanged.
 
     groups gives doc_id and component_id of every row: near_duplicates, or shingles.similar_groups.
-    Of repeated rows with that doc_id one is kept.  Rows without doc_id cannot be told apart by it and
+    Rows are told apart by doc_id and text, so that different texts under one doc_id are each in their own
+    group; of repeated rows of both one is kept.  Rows without doc_id cannot be told apart by it and
     stay.  The texts move once, by doc_id, for the semi join and the removal of repeats together.
     """
-    first = groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    mark, row = free_name(docs, "_mark"), free_name(docs, "_row")
+    marked = docs.withColumn(mark, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    rows = marked.select(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", mark)).alias(row), "text")
+    first = groups(rows, doc_id=row, text="text").where("doc_id = component_id").select("component_id.*").distinct()
+    kept = marked.join(first, ["doc_id", mark], "left_semi").dropDuplicates(["doc_id", mark]).select(*docs.columns)
     return kept.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
