@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import count
 
 from pyspark.sql import DataFrame
@@ -11,6 +12,10 @@ from lexaudit.operators.paths import nodes, text_of
 from lexaudit.sources.shared import written
 
 
+#: Up to so many edges the tables of a round are sent to the tasks: a few hundred KB, and no shuffle for each join.
+FEW = 10_000
+
+
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 100) -> DataFrame:
     """(node, component) for all ends of edges; component is the smallest node reachable.
 
@@ -19,28 +24,30 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 100
     is an end.  Minima combine before the shuffle, so hubs are cheap; every round's tables are written to the shared folder.
     """
     e = written(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL").distinct(), "edges")
-    found = None
+    found, n = None, e.count()
     for _ in range(max_rounds):
+        sent = lambda d: d.hint("broadcast") if n <= FEW else d  # noqa: B023, E731
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to")), "up")
-        hop = _ends(up)
+        hop = sent(_ends(up, sent))
         if found is None:
-            found = hop.withColumnRenamed("to", "component")
+            found = hop.hint("merge").withColumnRenamed("to", "component")
         else:
             moved = hop.select(F.col("node").alias("component"), "to")
             found = written(found.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "found")
         ends = e.join(hop.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(hop.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
         e = written(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
-        if e.isEmpty():
+        n = e.count()
+        if not n:
             return found
     raise RuntimeError("components did not settle")
 
 
-def _ends(up: DataFrame) -> DataFrame:
-    """(node, to) where pointers lead; they go down, so doubling ends after the logarithm of the longest way."""
+def _ends(up: DataFrame, sent: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, to) where pointers lead; they go down, so doubling ends after the logarithm of the longest way.  sent marks what is looked up."""
     while True:
-        two = up.join(up.select(F.col("node").alias("to"), F.col("to").alias("b")), "to").select("node", "b")
-        four = two.join(two.select(F.col("node").alias("b"), F.col("b").alias("c")), "b")
+        two = up.join(sent(up.select(F.col("node").alias("to"), F.col("to").alias("b"))), "to").select("node", "b")
+        four = two.join(sent(two.select(F.col("node").alias("b"), F.col("b").alias("c"))), "b")
         up = written(four.select("node", F.col("c").alias("to"), (F.col("b") != F.col("c")).alias("moved")), "hop")
         if up.where("moved").isEmpty():
             return up.drop("moved")

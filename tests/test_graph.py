@@ -24,3 +24,16 @@ def test_long_chains_settle_in_few_rounds(spark):
     got = dict(graph.connected_components(spark.createDataFrame(rows, "a long, b long"), "a", "b", max_rounds=8).collect())
     want = {i: 0 for i in range(601)} | {i: 2000 for i in mixed} | {i: 3900 for i in range(3900, 4001)} | {i: 5000 for i in range(5000, 5200)}
     assert got == want
+
+
+def test_few_edges_are_sent_and_many_are_shuffled(spark, monkeypatch):
+    """The groups are the same; a small graph's pointers are looked up without a shuffle for each join."""
+    rows = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)]
+    e = spark.createDataFrame(rows, "a long, b long")
+    sent = []
+    own = graph._ends
+    monkeypatch.setattr(graph, "_ends", lambda up, f: sent.append("broadcast" in f(up)._jdf.queryExecution().logical().toString().lower()) or own(up, f))
+    few = dict(graph.connected_components(e, "a", "b").collect())
+    monkeypatch.setattr(graph, "FEW", 10)
+    assert few == dict(graph.connected_components(e, "a", "b").collect()) == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)}
+    assert sent == [True, False]
