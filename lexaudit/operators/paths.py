@@ -53,6 +53,17 @@ def text_of(json: Column) -> Column:
     return F.when(json.startswith('"'), F.try_variant_get(F.try_parse_json(json), "$", "string"))
 
 
+def _unequal(a: DataFrame, b: DataFrame, keys: list[str], doc: str) -> DataFrame:
+    """(keys, _side, _doc) of the documents of both tables, but of those that have the same text on both sides and so no difference."""
+    both = a.select(*keys, F.lit("a").alias("_side"), F.col(doc).alias("_doc")).unionByName(b.select(*keys, F.lit("b").alias("_side"), F.col(doc).alias("_doc")))
+    x, y = F.get("_docs", F.lit(0)), F.get("_docs", F.lit(1))
+    same = (F.size("_docs") == 2) & (x["_side"] != y["_side"]) & x["_doc"].eqNullSafe(y["_doc"])
+    for k in keys:
+        same = same & F.col(k).isNotNull()  # null keys meet nothing
+    held = both.groupBy(*keys).agg(F.collect_list(F.struct("_side", "_doc")).alias("_docs")).where(~F.coalesce(same, F.lit(False)))
+    return held.select(*keys, F.inline("_docs"))
+
+
 def differences(a: DataFrame, b: DataFrame, keys: Sequence[str], doc: str) -> DataFrame:
     """(keys, change, path, other) between the documents of two tables under unique keys.
 
@@ -62,8 +73,9 @@ def differences(a: DataFrame, b: DataFrame, keys: Sequence[str], doc: str) -> Da
     that holds other values on one side.  A document that one side lacks is all removed or all added.
     """
     keys = list(keys)
-    side = lambda df, s: nodes(df, keys, doc).select(*keys, "path", F.struct("up", "leaf", F.sha2("json", 256).alias("digest")).alias(s))
-    both = written(side(a, "a").join(side(b, "b"), [*keys, "path"], "full_outer"), "both")
+    found = nodes(_unequal(a, b, keys, doc), [*keys, "_side"], "_doc").select(*keys, "_side", "path", F.struct("up", "leaf", F.sha2("json", 256).alias("digest")).alias("n"))
+    side = lambda s: found.where(F.col("_side") == s).select(*keys, "path", F.col("n").alias(s))
+    both = written(side("a").join(side("b"), [*keys, "path"], "full_outer"), "both")
     changed = both.where("a IS NOT NULL AND b IS NOT NULL AND a.digest <> b.digest AND (a.leaf OR b.leaf)").select(*keys, F.lit("changed").alias("change"), "path", F.lit(None).cast("string").alias("other"))
     gone, come = (both.where(f"{o} IS NULL").select(*keys, "path", f"{s}.*") for s, o in (("a", "b"), ("b", "a")))
     one = lambda df: df.groupBy(*keys, "digest").agg(F.min("path").alias("path"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")

@@ -53,6 +53,19 @@ def test_differences(spark, a, b, want):
     assert {(r["change"], r["path"], r["other"]) for r in got.collect()} == want
 
 
+def test_equal_documents_are_not_unfolded(spark, monkeypatch):
+    """Documents with one text on both sides have no difference and are left out first; repeated and null keys are as they were."""
+    schema = "id int, doc string"
+    a = spark.createDataFrame([(1, '{"x":1}'), (2, '{"x":1}'), (3, None), (4, '{"x":1}'), (5, '{"x":1}'), (5, '{"y":2}'), (None, '{"n":1}'), (6, '{"x":1}')], schema)
+    b = spark.createDataFrame([(1, '{"x":1}'), (2, '{"x":2}'), (3, None), (4, '{ "x":1}'), (5, '{"x":1}'), (None, '{"n":1}'), (7, '{"x":1}')], schema)
+    unfolded, own = [], paths.nodes
+    monkeypatch.setattr(paths, "nodes", lambda df, *x: unfolded.extend(r[0] for r in df.select("id").collect()) or own(df, *x))
+    got = sorted(((r["id"], r["change"], r["path"], r["other"]) for r in paths.differences(a, b, ["id"], "doc").collect()), key=str)
+    want = [(2, "changed", "/x", None), (5, "removed", "/y", None), (None, "added", "/n", None), (None, "removed", "/n", None), (6, "removed", "/x", None), (7, "added", "/x", None)]
+    assert got == sorted(want, key=str)
+    assert sorted(unfolded, key=str) == sorted([2, 2, 4, 4, 5, 5, 5, None, None, 6, 7], key=str)
+
+
 def test_strings_are_found_without_python(spark):
     objects = docs(spark, '{"a":["x",{"mScriptName":"own","n":"y\\"é"}],"mLocKeys":{"k":"z"},"n":"12","m":12,"e":"x"}').select(F.lit("f").alias("folder"), F.lit("p").alias("path"), F.col("doc").alias("obj"))
     found = graph.strings_of(objects)
