@@ -33,6 +33,8 @@ CAPACITY = 2048
 #: Steps of the search in all, and what a filling looked at costs in steps.  It bounds the driver's time, not
 #: what is packed: every piece is packed by the best solution found.
 NODES, COST = 2_000_000, 20
+#: Frames of the search that keep their untried fillings; a frame's take some 150 KB.
+LIVE = 32
 #: Rows of one length meant for one bucket, and the least number of buckets.
 BUCKET_ROWS, LEAST_BUCKETS = 100_000, 64
 
@@ -249,7 +251,8 @@ def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODE
     """Patterns that hold every piece of the histogram, in as few bins as the search finds.
 
     Depth first: around the largest size left, each undominated filling in turn, as often as the counts allow;
-    a branch ends where its waste leaves no room for a better packing than the incumbent.
+    a branch ends where its waste leaves no room for a better packing than the incumbent.  What is untried is kept
+    for the last LIVE frames; the others' fillings are made again when the search comes back to them.
     """
     incumbent = best_fit(counts, capacity)
     bins = lambda ps: sum(n for _, n in ps)
@@ -258,16 +261,27 @@ def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODE
     left = np.zeros(capacity + 1, np.int64)
     for k, n in counts.items():
         left[k] = n
-    # depth first; a frame holds its untried fillings, what was applied and the waste before it
+    # depth first; a frame holds its untried fillings, what was applied, the waste before it and how many were tried
     path: list[Pattern] = []
     frames: list[list] = []
     waste, effort = 0, Effort(nodes)
 
     def open_frame() -> None:
         top = int(np.flatnonzero(left)[-1])
+        frames.append([top, around(top), None, waste, 0])
+        if len(frames) > LIVE:
+            frames[-1 - LIVE][1] = None
+
+    def around(top: int, tried: int = 0) -> Iterator[list[int]]:
+        """The fillings around top but the first so many, which were paid for before."""
         left[top] -= 1
-        frames.append([top, fillings(capacity - top, left.copy(), effort), None, waste])
+        found = fillings(capacity - top, left.copy(), effort)
         left[top] += 1
+        paid, effort.left = effort.left, 1 << 62
+        for _ in range(tried):
+            next(found)
+        effort.left = paid
+        return found
 
     if total:
         open_frame()
@@ -278,10 +292,13 @@ def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODE
             for k, c in pattern.items():
                 left[k] += c * n
             waste, frame[2] = frame[3], None
+        if frame[1] is None:  # left is what it was when the frame was opened, so they come in the same order
+            frame[1] = around(frame[0], frame[4])
         filling = next(frame[1], None)
         if filling is None:
             frames.pop()
             continue
+        frame[4] += 1
         effort.spend(COST)
         pattern: dict[int, int] = {}
         for k in (frame[0], *filling):

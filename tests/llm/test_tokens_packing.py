@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -12,7 +14,7 @@ import regex
 import tiktoken
 from tokenizers import Tokenizer
 
-from lexaudit.llm import bpe
+from lexaudit.llm import bpe, packing
 from lexaudit.llm.bpe import SLOW, _spread, buckets_for, decode, distinct_words, encode_decode, encoded_words, gather, load_ranks, numbered_documents, pre_tokens
 from lexaudit.llm.packing import Places, best_fit, complete, cuts, fillings, pack, pack_documents, sequences
 from tests.conftest import SF
@@ -177,6 +179,26 @@ def test_effort_bounds_the_search():
     assert used == counts
 
 
+def test_search_keeps_few_frames(monkeypatch):
+    rnd = random.Random(5)
+    counts = {k: rnd.randint(1, 12) for k in range(1, 2049)}
+    tracemalloc.start()
+    try:
+        found = complete(counts, nodes=100_000)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 15_000_000
+    assert Counter(k for p, n in found for k, c in p.items() for _ in range(c * n)) == Counter(counts)
+    for seed in range(30):
+        rnd = random.Random(seed)
+        small = {rnd.randint(3, 40): rnd.randint(1, 4) for _ in range(rnd.randint(3, 12))}
+        monkeypatch.setattr(packing, "LIVE", 1 << 30)
+        want = [complete(small, 40, nodes) for nodes in (200, 2000, 20_000)]
+        monkeypatch.setattr(packing, "LIVE", 1)
+        assert [complete(small, 40, nodes) for nodes in (200, 2000, 20_000)] == want
+
+
 def test_pack_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     extra = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(EDGES)] + [(None, "no id"), (1001, "")], "doc_id long, text string")
