@@ -33,7 +33,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lexaudit.llm._util import table
 from lexaudit.llm.sql_text import CRC_TABLE, crc32
-from lexaudit.sources.shared import land, scratch, settings
+from lexaudit.sources.shared import file_system, land, scratch, settings
 
 BATCHES = 12
 HOUR_MS, DAY_MS = 3_600_000, 86_400_000
@@ -58,7 +58,12 @@ STREAM_SETTINGS = {
     # a start has one batch: its stores are closed, with their local files, once it is committed
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    # the state is read again by this call alone, from a file system that checks its blocks itself: no second file for each
+    "spark.sql.streaming.checkpoint.fileChecksum.enabled": "false",
 }
+#: In a mounted folder Hadoop's FileContext, which Spark prefers, starts processes for each file of the state; FileSystem needs
+#: fewer, and its rename is atomic there.  Other stores have what Spark takes for them.
+MOUNTED = {"spark.sql.streaming.checkpointFileManagerClass": "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager"}
 NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
 
 
@@ -202,10 +207,11 @@ def revised_panes(clicks: DataFrame, batches: int = BATCHES) -> DataFrame:
     real = spark.read.schema(f"{CUT}, batch int").parquet(f"{at}/cut").where((F.col("at_us") > 0) & (F.col("at_us") < END_US))
     last = {r["batch"]: r["m"] for r in real.groupBy("batch").agg(F.max("at_us").alias("m")).collect()}
     seen = 0  # the largest event time of earlier batches; none is before all
+    chosen = _stream_settings(file_system(spark, at)[0].getScheme())
 
     for k in range(batches):
         land(spark, f"{at}/cut/batch={k}", f"{at}/in/batch={k}")
-        with settings(spark, STREAM_SETTINGS | {NO_DATA: "true" if k == batches - 1 else "false"}):
+        with settings(spark, chosen | {NO_DATA: "true" if k == batches - 1 else "false"}):
             q = _panes(spark.readStream.schema(CUT).parquet(f"{at}/in/*"), seen).writeStream.foreachBatch(_keep(f"{at}/out")).outputMode("append").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
             q.awaitTermination()
         seen = max(seen, last.get(k, 0))
@@ -213,6 +219,11 @@ def revised_panes(clicks: DataFrame, batches: int = BATCHES) -> DataFrame:
     return out.select(F.least("epoch", F.lit(batches - 1)).cast("long").alias("batch"), "record", "kind", "hour", "click_id", "n_rows", "cents")
 
 
+def _stream_settings(scheme: str) -> dict[str, str]:
+    """What a start is made with, its checkpoint being in a file system of this scheme."""
+    return STREAM_SETTINGS | (MOUNTED if scheme == "file" else {})
+
+
 def _panes(rows: DataFrame, seen: int) -> DataFrame:
     """The stream of records of a stream of cut rows; seen is the largest event time of earlier batches."""
     rows = rows.withColumn("at", F.timestamp_micros("at_us")).withWatermark("at", "0 seconds")

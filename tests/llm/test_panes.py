@@ -107,3 +107,15 @@ def test_empty_batches_emit_and_settings_come_back(spark):
 
 def test_empty_table(spark):
     assert records(spark, [], 2) == []
+
+
+def test_state_has_one_file_for_each_batch_and_shard(spark, tmp_path, monkeypatch):
+    """Few files, as each costs a start of processes in a mounted folder; other stores keep Spark's own way of writing."""
+    monkeypatch.setattr(panes, "scratch", lambda _, tag: f"file://{tmp_path}/{tag}")
+    records(spark, made(50, 7), 2)
+    state = [p for p in (tmp_path / "panes/checkpoint/state/0").rglob("*.changelog*") if not p.name.startswith(".")]
+    assert state
+    assert all(p.suffix == ".changelog" for p in state)
+    name = "spark.sql.streaming.checkpointFileManagerClass"
+    assert name in panes._stream_settings("file")
+    assert not any(name in panes._stream_settings(s) for s in ("hdfs", "s3a", "viewfs"))
