@@ -58,6 +58,9 @@ STREAM_SETTINGS = {
     # a start has one batch: its stores are closed, with their local files, once it is committed
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    # a shard's state is a few KB; RocksDB takes an eighth of this at once, and what stores return lies in pieces between what
+    # Spark does not return of each (statistics, 0.5 MB), so that executors grow with the number of stores opened
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "1",
     # the state is read again by this call alone, from a file system that checks its blocks itself: no second file for each
     "spark.sql.streaming.checkpoint.fileChecksum.enabled": "false",
 }

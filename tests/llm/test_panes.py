@@ -8,6 +8,8 @@ import random
 import zlib
 from collections import defaultdict
 
+from pyspark.sql.streaming import DataStreamWriter
+
 from lexaudit.llm import panes
 
 SCHEMA = "click_id long, ts timestamp_ntz, arrived_at timestamp_ntz, client_id long, kind string, value double, props string, batch string"
@@ -119,3 +121,13 @@ def test_state_has_one_file_for_each_batch_and_shard(spark, tmp_path, monkeypatc
     name = "spark.sql.streaming.checkpointFileManagerClass"
     assert name in panes._stream_settings("file")
     assert not any(name in panes._stream_settings(s) for s in ("hdfs", "s3a", "viewfs"))
+
+
+def test_open_stores_take_little_memory(spark, monkeypatch):
+    """Below half a MB each: executors open one for each shard and start, and native memory once taken comes back in part only."""
+    begun, start = [], DataStreamWriter.start
+    monkeypatch.setattr(DataStreamWriter, "start", lambda self, *a, **b: begun.append(start(self, *a, **b)) or begun[-1])
+    records(spark, made(400, 9), 2)
+    used = [op["memoryUsedBytes"] / op["numShufflePartitions"] for q in begun for p in q.recentProgress for op in p["stateOperators"]]
+    assert used
+    assert max(used) < 500_000
