@@ -109,6 +109,9 @@ def assign_groups(spells: DataFrame, edges: DataFrame, later: DataFrame | None =
     entry starts one; the longest slot name that starts an entry's own at a word boundary; the later file's
     object (later(folder, name, root, where)); and entries in no group that are linked to each other join
     the one group that their links reach, if it is one.  Attacks join only by name, game-mode entries never.
+
+    Every side grows with the entries, so joins are by shuffle: by the size of its files Spark takes a table of keys for
+    small and sends it to every task whole.
     """
     key = ["folder", "path"]
     low = F.lower("name")
@@ -120,22 +123,23 @@ def assign_groups(spells: DataFrame, edges: DataFrame, later: DataFrame | None =
     started = seeds.where("object_group IS NULL").select(*key, F.concat(F.lit("script name "), "name").alias("group"), F.lit("slot spell").alias("source"), F.lit("slot spell").alias("joined_by"))
     done = own.unionByName(started)
     # the longest seed name wins; of equal ones the first path
-    free = s.join(done.select(*key), key, "left_anti").where("NOT mode")
+    free = s.join(done.select(*key).hint("merge"), key, "left_anti").where("NOT mode")
     by = seeds.select("folder", F.col("name").alias("seed"), F.col("path").alias("seed_path"))
     # an entry's own beginnings, cut at word boundaries, meet the seeds in an equi-join
     cuts = F.filter(F.sequence(F.lit(1), F.length("name")), lambda i: (i == F.length("name")) | F.substr("name", i + 1, F.lit(1)).rlike("[A-Z0-9_]"))
     starts = free.where("name <> ''").withColumn("_begin", F.explode(F.transform(cuts, lambda i: F.lower(F.substr("name", F.lit(1), i)))))
-    starts = starts.join(by.where("seed <> ''").withColumn("_begin", F.lower("seed")), ["folder", "_begin"])
+    # many entries share a short beginning: they pass by the few seeds of their task, and need not be held to be sorted
+    starts = starts.join(by.where("seed <> ''").withColumn("_begin", F.lower("seed")).hint("shuffle_hash"), ["folder", "_begin"])
     best = starts.groupBy(*key).agg(F.min_by("seed", F.struct(-F.length("seed"), "seed_path")).alias("seed"))
     done = done.unionByName(best.select(*key, group.alias("group"), F.lit("slot spell").alias("source"), F.lit("script-name prefix").alias("joined_by")))
     if later is not None:
-        free = s.join(done.select(*key), key, "left_anti").where("NOT mode AND NOT attack")
-        found = free.withColumn("_low", F.lower("name")).join(later.select("folder", F.lower("name").alias("_low"), F.lower("root").alias("_root"), "where"), ["folder", "_low"])
-        found = found.join(by.select("folder", "seed", F.lower("seed").alias("_root")), ["folder", "_root"])
+        free = s.join(done.select(*key).hint("merge"), key, "left_anti").where("NOT mode AND NOT attack")
+        found = free.withColumn("_low", F.lower("name")).join(later.select("folder", F.lower("name").alias("_low"), F.lower("root").alias("_root"), "where").hint("merge"), ["folder", "_low"])
+        found = found.join(by.select("folder", "seed", F.lower("seed").alias("_root")).hint("merge"), ["folder", "_root"])
         done = done.unionByName(found.select(*key, group.alias("group"), F.lit("slot spell").alias("source"), F.concat(F.lit("AbilityObject in "), "where").alias("joined_by")))
     done = written(done, "groups")
     # linked entries: those of ability objects, game modes and attacks take no part
-    out_of = s.where("object_group IS NOT NULL OR mode OR attack").select("folder", F.col("path").alias("x"))
+    out_of = s.where("object_group IS NOT NULL OR mode OR attack").select("folder", F.col("path").alias("x")).hint("merge")
     e = edges.join(out_of, (edges["folder"] == out_of["folder"]) & (F.col("a") == F.col("x")), "left_anti").join(out_of.withColumnRenamed("folder", "f2"), (F.col("folder") == F.col("f2")) & (F.col("b") == F.col("x")), "left_anti")
     joined = done.select("folder", F.col("path").alias("b"), "group")
     loose = e.join(done.select("folder", F.col("path").alias("a")), ["folder", "a"], "left_anti")
@@ -146,5 +150,5 @@ def assign_groups(spells: DataFrame, edges: DataFrame, later: DataFrame | None =
     one = comps.join(reach, "node").groupBy("component").agg(F.count_distinct("group").alias("n"), F.min("group").alias("group")).where("n = 1")
     last = comps.join(one, "component").select(F.split("node", "\x00").alias("n"), "group")
     done = done.unionByName(last.select(F.col("n")[0].alias("folder"), F.col("n")[1].alias("path"), "group", F.lit("slot spell").alias("source"), F.lit(LINKED).alias("joined_by")))
-    shared = done.groupBy("folder", "group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    shared = done.groupBy("folder", "group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n").hint("merge")
     return done.join(shared, ["folder", "group"]).select("folder", "path", "group", "source", "joined_by")

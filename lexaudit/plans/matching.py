@@ -137,7 +137,7 @@ def grouped_entries(spark, d):
     later = o.where((c == 3) & (k % 20 == 3)).select(F.lit("orders").alias("folder"), text("OTHER", k).alias("name"), text("HERO", q).alias("root"), F.lit("next").alias("where"))
     steps = [F.array()] * 4 + [F.array(F.lit(-2)), F.array(F.lit(-1)), F.array(F.lit(-4), F.lit(6)), F.array(), F.array(F.lit(-6)), F.array(F.lit(-9))]
     one = o.select(path(k).alias("a"), F.explode(F.element_at(F.array(*(s.cast("array<int>") for s in steps)), c + 1)).alias("to"), "k").select("a", path(k + F.col("to")).alias("b"))
-    one = one.join(o.select(path(k).alias("b")), "b", "left_semi").select(F.lit("orders").alias("folder"), "a", "b")
+    one = one.join(o.select(path(k).alias("b")).hint("merge"), "b", "left_semi").select(F.lit("orders").alias("folder"), "a", "b")
     edges = one.unionByName(one.select("folder", F.col("b").alias("a"), F.col("a").alias("b")))
     return graph.assign_groups(spells, edges, later)
 

@@ -2,7 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from lexaudit.operators import graph
+from lexaudit.plans import matching
 
 
 def test_reachable_has_no_bound(spark):
@@ -37,3 +40,15 @@ def test_few_edges_are_sent_and_many_are_shuffled(spark, monkeypatch):
     monkeypatch.setattr(graph, "FEW", 10)
     assert few == dict(graph.connected_components(e, "a", "b").collect()) == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)}
     assert sent == [True, False]
+
+
+def test_groups_send_no_table_of_entries(spark, monkeypatch):
+    """No side of a join is sent to all tasks, however small its files are; up to the components, which send few edges on purpose."""
+    plans, plan = [], lambda df: df._jdf.queryExecution().executedPlan().toString()
+    own = graph.written
+    monkeypatch.setattr(graph, "written", lambda df, tag: plans.append(plan(df)) or own(df, tag))
+    rounds = lambda edges, a, b: plans.append(plan(edges)) or edges.select(F.col(a).alias("node"), F.col(a).alias("component"))
+    monkeypatch.setattr(graph, "connected_components", rounds)
+    plans.append(plan(matching.grouped_entries(spark, "/root/testdata/sf0.001")))
+    assert len(plans) == 3
+    assert all("Join" in p and "BroadcastHashJoin" not in p for p in plans)
