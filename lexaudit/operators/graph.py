@@ -128,8 +128,10 @@ def assign_groups(spells: DataFrame, edges: DataFrame, later: DataFrame | None =
     # an entry's own beginnings, cut at word boundaries, meet the seeds in an equi-join
     cuts = F.filter(F.sequence(F.lit(1), F.length("name")), lambda i: (i == F.length("name")) | F.substr("name", i + 1, F.lit(1)).rlike("[A-Z0-9_]"))
     starts = free.where("name <> ''").withColumn("_begin", F.explode(F.transform(cuts, lambda i: F.lower(F.substr("name", F.lit(1), i)))))
-    # many entries share a short beginning: they pass by the few seeds of their task, and need not be held to be sorted
-    starts = starts.join(by.where("seed <> ''").withColumn("_begin", F.lower("seed")).hint("shuffle_hash"), ["folder", "_begin"])
+    # many entries share a short beginning: they pass by the seeds of their task, one of each name, and need not be held to be sorted
+    first = F.min_by(F.struct("seed", "seed_path"), F.struct(-F.length("seed"), "seed_path"))
+    firsts = by.where("seed <> ''").groupBy("folder", F.lower("seed").alias("_begin")).agg(first.alias("_first")).select("folder", "_begin", "_first.*")
+    starts = starts.join(firsts.hint("shuffle_hash"), ["folder", "_begin"])
     best = starts.groupBy(*key).agg(F.min_by("seed", F.struct(-F.length("seed"), "seed_path")).alias("seed"))
     done = done.unionByName(best.select(*key, group.alias("group"), F.lit("slot spell").alias("source"), F.lit("script-name prefix").alias("joined_by")))
     if later is not None:
