@@ -15,11 +15,10 @@ FNV_OFFSET, FNV_PRIME = 2166136261, 16777619
 
 def fnv1a(text: Column) -> Column:
     """``{xxxxxxxx}``: 32-bit FNV-1a of the lower-cased text's UTF-8 bytes."""
-    raw = F.hex(F.encode(F.lower(text), "UTF-8"))
-    n = (F.length(raw) / 2).cast("int")
-    order = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    byte = lambda i: F.conv(F.substr(raw, i * 2 + 1, F.lit(2)), 16, 10).cast("long")
-    h = F.aggregate(order, F.lit(FNV_OFFSET).cast("long"), lambda a, i: (a.bitwiseXOR(byte(i)) * FNV_PRIME).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
+    # bytes as characters of the same number
+    raw = F.decode(F.encode(F.lower(text), "UTF-8"), "ISO-8859-1")
+    bytes_ = F.when(F.length(raw) > 0, F.split(raw, "")).otherwise(F.array().cast("array<string>"))
+    h = F.aggregate(bytes_, F.lit(FNV_OFFSET).cast("long"), lambda a, c: (a.bitwiseXOR(F.ascii(c).cast("long")) * FNV_PRIME).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
     return F.format_string("{%08x}", h)
 
 

@@ -84,47 +84,51 @@ def _records(objects: DataFrame) -> DataFrame:
     return first_per_key(found.where("rank IS NOT NULL"), ["folder"], ["rank", "path"])
 
 
-def _text_keys(spells: DataFrame) -> DataFrame:
-    """(folder, path, field, key) of the text keys of all spells."""
-    keys = spells.select("folder", "path", F.explode(field(f"{SHOWN}.mLocKeys", "map<string,variant>")).alias("field", "_v"))
-    return keys.select("folder", "path", "field", F.when(is_text(F.col("_v")), F.try_variant_get("_v", "$", "string")).alias("key"))
+def _text_keys(spells: DataFrame, *also: str) -> DataFrame:
+    """(folder, path, field, key) of the text keys of all spells, with other columns of theirs."""
+    keys = spells.select("folder", "path", *also, F.explode(field(f"{SHOWN}.mLocKeys", "map<string,variant>")).alias("field", "_v"))
+    return keys.select("folder", "path", "field", F.when(is_text(F.col("_v")), F.try_variant_get("_v", "$", "string")).alias("key"), *also)
 
 
-def _passives(spells: DataFrame, record: DataFrame, keys: DataFrame) -> DataFrame:
+def _passives(spells: DataFrame, record: DataFrame, keys: DataFrame, linked: DataFrame) -> DataFrame:
     """(folder, path) of the passive of each folder, by the first way that finds one.
 
-    The record links it; else it has the name that the record gives, or the record's summary among its texts, or a
-    usual name, or alone a usual text key.
+    The record links it (linked(folder, low)); else it has the name that the record gives, or the record's summary among
+    its texts, or a usual name, or alone a usual text key.
     """
-    linked = keyed(record.where("linked IS NOT NULL").select("folder", "linked"), "linked", spells).join(spells.select("folder", "low", "path"), ["folder", "low"]).select("folder", "path", F.lit(0).alias("rank"))
+    linked = linked.join(spells.select("folder", "low", "path"), ["folder", "low"]).select("folder", "path", F.lit(0).alias("rank"))
     open_ = record.where("linked IS NULL")
-    named = F.array("script", F.element_at(F.split("path", "/"), -1), field("$.ObjectName"))
-    names = spells.select("folder", "path", F.posexplode(named).alias("_i", "_n")).where("_n <> ''").select("folder", "path", "_i", F.lower("_n").alias("name"))
-    names = first_per_key(names, ["folder", "name"], ["path", "_i"]).select("folder", "name", "path")
-    by_name = open_.select("folder", F.lower("lua").alias("name")).join(names, ["folder", "name"]).select("folder", "path", F.lit(1).alias("rank"))
-    by_text = open_.select("folder", F.col("summary").alias("key")).join(keys.where("key IS NOT NULL"), ["folder", "key"]).select("folder", "path", F.lit(2).alias("rank"))
     called = F.array_sort(F.array_distinct(F.array(F.lower("folder"), F.lower("champion"))))
     usual = open_.select("folder", F.posexplode(F.flatten(F.transform(called, lambda n: F.array(*(F.concat(n, F.lit(e)) for e in USUAL_ENDS))))).alias("_i", "name"))
-    by_usual = usual.join(names, ["folder", "name"]).select("folder", "path", (F.col("_i") + 3).alias("rank"))
+    asked = open_.where("lua IS NOT NULL").select("folder", F.lower("lua").alias("name"), F.lit(1).alias("rank")).unionByName(usual.select("folder", "name", (F.col("_i") + 3).alias("rank")))
+    named = F.array_distinct(F.transform(F.array("script", F.element_at(F.split("path", "/"), -1), field("$.ObjectName")), F.lower))
+    names = spells.select("folder", "path", F.explode(named).alias("name")).where("name <> ''")
+    by_name = asked.join(names, ["folder", "name"]).select("folder", "path", "rank")
+    by_text = open_.where("summary IS NOT NULL").select("folder", F.col("summary").alias("key")).join(keys.where("key IS NOT NULL"), ["folder", "key"]).select("folder", "path", F.lit(2).alias("rank"))
     wanted = usual.select("folder", F.concat(F.lit("spell_"), "name", F.lit("_tooltip")).alias("key")).distinct()
     alone = keys.where(F.col("field") == TEXT_FIELDS[0]).select("folder", "path", F.lower("key").alias("key")).join(wanted, ["folder", "key"], "left_semi")
     alone = alone.groupBy("folder").agg(F.min("path").alias("path"), F.count(F.lit(1)).alias("n")).where("n = 1").select("folder", "path", F.lit(99).alias("rank"))
-    every = linked.unionByName(by_name).unionByName(by_text).unionByName(by_usual).unionByName(alone)
+    every = linked.unionByName(by_name).unionByName(by_text).unionByName(alone)
     return first_per_key(every, ["folder"], ["rank", "path"]).select("folder", "path")
 
 
-def _abilities(objects: DataFrame, spells: DataFrame, record: DataFrame) -> DataFrame:
-    """(folder, low, root) of the spells of abilities; the first ability in the record that names a spell has it."""
-    a = record.select("folder", F.posexplode("abilities").alias("_a", "path"))
+def _members(objects: DataFrame, record: DataFrame) -> DataFrame:
+    """(folder, what, a, c, given) of the paths in abilities: the root of the a-th, and its c-th member, the root before its children."""
+    a = record.select("folder", F.posexplode("abilities").alias("a", "path"))
+    a = a.select("folder", "a", F.posexplode(F.array("path", fnv1a(F.col("path")))).alias("rank", "at"))
     o = objects.select("folder", F.col("path").alias("at"), field("$.mRootSpell").alias("root"), field("$.mChildSpells", "array<string>").alias("children"))
-    as_is = a.withColumnRenamed("path", "at").join(o, ["folder", "at"]).withColumn("rank", F.lit(0))
-    hashed = a.withColumn("at", fnv1a(F.col("path"))).drop("path").join(o, ["folder", "at"]).withColumn("rank", F.lit(1))
-    one = first_per_key(as_is.unionByName(hashed), ["folder", "_a"], ["rank", "at"])
-    root = keyed(one.where("root <> ''").select("folder", "_a", "root"), "root", spells).select("folder", "_a", F.col("low").alias("root"))
+    one = first_per_key(a.join(o, ["folder", "at"]), ["folder", "a"], ["rank", "at"])
+    row = lambda what, c, given: F.struct(F.lit(what).alias("what"), c.alias("c"), given.alias("given"))
     members = F.concat(F.array("root"), F.coalesce("children", F.array().cast("array<string>")))
-    child = keyed(one.select("folder", "_a", F.posexplode(members).alias("_c", "child")).where("child <> ''"), "child", spells)
-    child = child.select("folder", "_a", "_c", "low").join(root, ["folder", "_a"], "left")
-    return first_per_key(child, ["folder", "low"], ["_a", "_c"]).select("folder", "low", "root")
+    rows = F.concat(F.array(row("root", F.lit(0), F.col("root"))), F.transform(members, lambda x, i: row("member", i, x)))
+    return one.select("folder", "a", F.explode(rows).alias("r")).select("folder", "a", "r.*").where("given <> ''")
+
+
+def _abilities(members: DataFrame) -> DataFrame:
+    """(folder, low, root) of the spells of abilities; the first ability in the record that names a spell has it."""
+    root = members.where("what = 'root'").select("folder", "a", F.col("low").alias("root"))
+    child = members.where("what = 'member'").select("folder", "a", "c", "low").join(root, ["folder", "a"], "left")
+    return first_per_key(child, ["folder", "low"], ["a", "c"]).select("folder", "low", "root")
 
 
 def read_entities(objects: DataFrame) -> Tables:
@@ -133,29 +137,33 @@ def read_entities(objects: DataFrame) -> Tables:
     o = written(o.where("v IS NOT NULL").withColumn("kind", field("$.__type")), "objects")
     spells = o.where("kind = 'SpellObject'").withColumn("script", F.coalesce(field("$.mScriptName"), F.lit("")))
     record = written(_records(o), "records")
-    passive = written(_passives(spells, record, _text_keys(spells)), "passives")
-    listed = keyed(record.select("folder", F.posexplode("listed").alias("at", "given")), "given", spells)
+    # all paths that a record or an ability gives are looked up at once
+    linked = record.where("linked IS NOT NULL").select("folder", F.lit("linked").alias("what"), F.lit(0).alias("a"), F.lit(0).alias("c"), F.col("linked").alias("given"))
+    listed = record.select("folder", F.lit("listed").alias("what"), F.lit(0).alias("a"), F.posexplode("listed").alias("c", "given"))
+    asked = written(keyed(linked.unionByName(listed).unionByName(_members(o, record)), "given", spells), "asked")
+    of = lambda what: asked.where(F.col("what") == what)
+    passive = written(_passives(spells, record, _text_keys(spells), of("linked").select("folder", "low")), "passives")
     letters = F.array(*map(F.lit, SLOT_LETTERS))
-    linked = keyed(record.where("linked IS NOT NULL").select("folder", "linked"), "linked", spells)
     # a linked passive has its slot before what is listed, one that was looked for after it; of a path listed twice the later place counts
-    given = linked.select("folder", "low", F.lit("P").alias("slot"), F.lit(-9).alias("rank"))
-    given = given.unionByName(listed.select("folder", "low", F.element_at(letters, F.col("at") + 1).alias("slot"), (-F.col("at")).alias("rank")))
+    given = of("linked").select("folder", "low", F.lit("P").alias("slot"), F.lit(-9).alias("rank"))
+    given = given.unionByName(of("listed").select("folder", "low", F.element_at(letters, F.col("c") + 1).alias("slot"), (-F.col("c")).alias("rank")))
     given = given.unionByName(passive.select("folder", F.lower("path").alias("low"), F.lit("P").alias("slot"), F.lit(9).alias("rank")))
     slots = written(first_per_key(given, ["folder", "low"], ["rank", "slot"]).select("folder", "low", "slot"), "slots")
-    return Tables(spells, record, slots, written(_abilities(o, spells, record), "abilities"), passive)
+    return Tables(spells, record, slots, written(_abilities(asked), "abilities"), passive)
 
 
 def placed(t: Tables) -> DataFrame:
     """(folder, path, low, obj, v, script, slot, root, ranks, rank_source, varies_by_rank) of all spells."""
-    own, root_slot = t.slots, t.slots.select("folder", F.col("low").alias("root"), F.col("slot").alias("_root_slot"))
-    s = t.spells.join(own, ["folder", "low"], "left").join(t.abilities.withColumn("_member", F.lit(True)), ["folder", "low"], "left").join(root_slot, ["folder", "root"], "left")
-    slot = F.coalesce(F.col("slot"), F.concat("_root_slot", F.lit("-form")), F.when(F.col("_member"), F.lit("ability-child")), F.lit("other"))
     level = f"{SHOWN}.mLists.LevelUp.levelCount"
     number = F.try_variant_get("v", level, "variant")
     count = F.when(is_number(number) & (field(level, "double") >= 1), F.floor(field(level, "double")).cast("int"))
-    s = s.withColumn("slot", slot).withColumn("_n", count)
-    root = s.select("folder", F.col("low").alias("root"), F.col("_n").alias("_root_n"))
-    s = s.join(root, ["folder", "root"], "left").withColumn("varies_by_rank", _varying())
+    # what is known of a path is gathered in narrow rows, and the spells with their objects are joined once
+    places = t.slots.join(t.abilities.withColumn("_member", F.lit(True)), ["folder", "low"], "full_outer")
+    root_slot = t.slots.select("folder", F.col("low").alias("root"), F.col("slot").alias("_root_slot"))
+    root = t.spells.select("folder", F.col("low").alias("root"), count.alias("_root_n"))
+    places = places.join(root_slot, ["folder", "root"], "left").join(root, ["folder", "root"], "left")
+    s = t.spells.withColumn("_n", count).join(places, ["folder", "low"], "left").withColumn("varies_by_rank", _varying())
+    s = s.withColumn("slot", F.coalesce(F.col("slot"), F.concat("_root_slot", F.lit("-form")), F.when(F.col("_member"), F.lit("ability-child")), F.lit("other")))
     n = F.coalesce("_n", "_root_n", F.lit(1))
     source = F.when(F.col("_n").isNotNull(), OWN_LIST).when(F.col("_root_n").isNotNull(), ROOT_LIST).when(F.size("varies_by_rank") > 0, ONE_BUT_VARIES).otherwise(ONE)
     s = s.withColumn("ranks", F.sequence(F.lit(1), n)).withColumn("rank_source", source)
@@ -184,7 +192,7 @@ def text_jobs(t: Tables, spells: DataFrame) -> DataFrame:
     keys = _text_keys(t.spells)
     champion = t.spells.select("folder").distinct().unionByName(t.record.select("folder")).distinct().join(t.record.select("folder", "champion", "summary"), "folder", "left")
     champion = champion.select("folder", F.coalesce("champion", "folder").alias("champion"), "summary")
-    own = keys.where(F.col("field").startswith(TEXT_FIELDS[0]) & (F.col("key") != "")).join(spells, ["folder", "path"])
+    own = _text_keys(spells, *(c for c in spells.columns if c not in ("folder", "path"))).where(F.col("field").startswith(TEXT_FIELDS[0]) & (F.col("key") != ""))
     told = keys.where(F.col("field") == TEXT_FIELDS[0]).join(spells.where("slot = 'P'").select("folder", "path"), ["folder", "path"], "left_semi").select("folder").distinct()
     lone = champion.where("summary IS NOT NULL").join(told, "folder", "left_anti").join(t.passive, "folder", "left")
     lone = lone.select("folder", F.coalesce("path", F.concat(F.lit("Characters/"), "folder", F.lit(f"/{NO_SPELL}"))).alias("path"), F.lit(SUMMARY_FIELD).alias("field"), F.col("summary").alias("key"))

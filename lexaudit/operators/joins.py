@@ -128,9 +128,9 @@ def one_left_out(left: DataFrame, right: DataFrame, by: Sequence[str], parts: st
 
 def owners(rows: DataFrame, key: str, path: str, main: Column, named: Column) -> DataFrame:
     """(key, owner) of every key with two or more paths: its only main path, else its only named one, else null."""
-    one = lambda c: F.collect_set(F.when(c, F.col(path)))
-    g = rows.groupBy(key).agg(F.count_distinct(path).alias("_n"), one(main).alias("_main"), one(named).alias("_named")).where("_n >= 2")
-    owner = F.when(F.size("_main") == 1, F.element_at("_main", 1)).when(F.size("_named") == 1, F.element_at("_named", 1))
+    ends = lambda c, n: [F.min(c).alias(f"_{n}0"), F.max(c).alias(f"_{n}1")]
+    g = rows.groupBy(key).agg(*ends(F.col(path), "all"), *ends(F.when(main, F.col(path)), "main"), *ends(F.when(named, F.col(path)), "named")).where("_all0 <> _all1")
+    owner = F.when(F.col("_main0") == F.col("_main1"), F.col("_main0")).when(F.col("_named0") == F.col("_named1"), F.col("_named0"))
     return g.select(key, owner.alias("owner"))
 
 

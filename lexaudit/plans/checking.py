@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexaudit.functions import hashing
 from lexaudit.operators import assemble, checks, evaluate
-from lexaudit.sources.shared import written
+from lexaudit.sources.shared import spread, written
 
 S, K, T = "$s$", "$k$", "$t$"  # the size of a part as a number, a hundredth of it, and the size inside a string
 
@@ -237,7 +237,7 @@ SQL = {"check_flags": CHECK_FLAGS, "checks_skipped": SKIPPED, "catch_report": CA
 
 def entity_objects(spark: SparkSession, d: str) -> DataFrame:
     """(folder, path, obj): an entity file for each part, with a record and the two spells of one ability, one of them hashed."""
-    p = spark.read.parquet(f"{d}/part.parquet")
+    p = spread(spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_size"))
     k, s = F.col("p_partkey"), F.col("p_size")
     name = F.concat(F.lit("Unit"), k.cast("string"))
     home = F.concat(F.lit("Characters/"), name, F.lit("/Spells/"), name)
