@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,16 +76,19 @@ class Published:
 
     # -- writing --------------------------------------------------------------------------------
 
-    def publish(self, tables: Mapping[str, DataFrame], summary: Mapping | None = None, *, part: str | None = None, only: Sequence[str] | None = None, based_on: int | None = None) -> int:
+    def publish(self, tables: Mapping[str, DataFrame | Callable[[Mapping[str, DataFrame]], DataFrame]], summary: Mapping | None = None, *, part: str | None = None, only: Sequence[str] | None = None, based_on: int | None = None) -> int:
         """Writes tables and publishes them as the version after based_on (the latest unless given), which is returned.
 
         With part, a string column, tables are laid out by it; with only, just those parts are replaced by
-        the rows given, and one without rows ends.  Tables that are not given stay as they are.
+        the rows given, and one without rows ends.  Tables that are not given stay as they are.  A table made from
+        others of the publication is given as a function of those before it, as they are read from what was written.
         """
         base = self.version() if based_on is None else based_on
         now = self.entry(base)
         entry = {"version": base + 1, "tables": dict(now["tables"]), "summary": dict(summary or {})}
+        made: dict[str, DataFrame] = {}
         for name, df in tables.items():
+            df = df(made) if callable(df) else df
             folder = f"{name}-{uuid.uuid4().hex}"
             # rows of a part in few tasks: else each task has a file in each part; large parts are split again
             w = (df.hint("rebalance", part) if part else df).write.option("compression", "gzip" if self.kind == "json" else "zstd").format(self.kind)
@@ -95,6 +98,7 @@ class Published:
                 own = {p: f for p, f in now["tables"][name]["folders"].items() if p not in only} | own
             order = [f for f in df.schema.fields if f.name != part] + [f for f in df.schema.fields if f.name == part]
             entry["tables"][name] = {"part": part, "folders": own, "schema": StructType(order).jsonValue()}
+            made[name] = self.spark.read.schema(StructType(order)).format(self.kind).load(f"{self.root}/data/{folder}")
         self._commit(entry)
         return base + 1
 
