@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexaudit.sources.publish import Published
-from lexaudit.sources.shared import written
+from lexaudit.sources.shared import whole_groups, written
 
 KEY = ["group", "name"]
 #: Groups of up to so many terms are evaluated in one task, terms of whole groups together, and so many terms at once.
@@ -111,17 +111,8 @@ def _in_groups(terms: DataFrame, *also: str) -> DataFrame:
     rows = terms.select(*also, *KEY, "reads", "coef").repartition("group").sortWithinPartitions("group")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            held.append(b)
-            if sum(x.num_rows for x in held) >= AT_ONCE:
-                t = pa.Table.from_batches(held).combine_chunks()
-                own = t.column("group").combine_chunks().dictionary_encode().indices.to_numpy()
-                whole = int(np.searchsorted(own, own[-1]))  # the last group may go on
-                held = t.slice(whole).to_batches()
-                yield from levels(t.slice(0, whole), also).to_batches()
-        if held:
-            yield from levels(pa.Table.from_batches(held).combine_chunks(), also).to_batches()
+        for t in whole_groups(batches, "group", AT_ONCE):
+            yield from levels(t, also).to_batches()
 
     out = rows.select(*also, *KEY).schema.fields
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out)

@@ -9,8 +9,10 @@ import atexit
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Setting that names the shared folder.
@@ -52,6 +54,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(max(4 * sc.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
+def whole_groups(batches: Iterable[pa.RecordBatch], by: str, at_once: int) -> Iterator[pa.Table]:
+    """Batches whose groups stand together as tables of so many rows, a group never cut."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= at_once:
+            t = pa.Table.from_batches(held).combine_chunks()
+            own = t.column(by).combine_chunks().dictionary_encode().indices.to_numpy()
+            whole = int(np.searchsorted(own, own[-1]))  # the last group may go on
+            held = t.slice(whole).to_batches()
+            yield t.slice(0, whole)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
     """The path of a new folder in the shared folder, removed when the driver ends; nothing is made yet."""
     path = f"{shared_dir(spark)}/lexaudit/{tag}-{uuid.uuid4().hex}"
